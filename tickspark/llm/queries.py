@@ -5,14 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickspark.llm import bpe
+from tickspark.llm import bpe, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash components of all documents: three-word shingles, links at two bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the ranks of a public vocabulary."""
     import public_tokenizers
@@ -24,6 +31,7 @@ def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
     }
 
