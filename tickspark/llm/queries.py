@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import bpe, simhash
+from tickspark.llm import bpe, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, ranks))
 
 
+def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id files of all documents in ascending doc_id order, read back."""
+    import public_tokenizers
+
+    return tokens.digest(tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
+        "op8_elias_fano_ids": op8_elias_fano_ids,
     }
 
 
