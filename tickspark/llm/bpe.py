@@ -9,19 +9,19 @@ and a worker's bounded memo carries pieces from block to block.
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Memo entries per generation and longest text kept in it; two generations are held.
-MEMO_ENTRIES = 150_000
+#: Entries after which a memo is cut back, and the longest text kept in one.
+MEMO_ENTRIES = 400_000
 MEMO_CHARS = 48
 #: Characters of text that one block holds at most (a single longer text is a block of its own).
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -30,174 +30,194 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def replay(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """Token ids (little-endian unsigned 32-bit) of each piece.
-
-    A piece that is itself a token is that token. Others are merged pair by pair: always the lowest rank in the piece,
-    leftmost first. Pieces do not touch each other, so one pass over the ranks serves them all; when a merge creates a
-    pair of a lower rank, the rest of that piece waits until this pair has been merged.
-    """
-    out: list[bytes] = [b""] * len(pieces)
-    part: list[bytes | None] = []
-    after: list[int] = []
-    prior: list[int] = []
-    starts: list[int] = []
-    owners: list[int] = []
-    index: dict[int, list[int]] = {}
-    get = ranks.get
-    for w, piece in enumerate(pieces):
-        whole = get(piece)
-        if whole is not None:
-            out[w] = whole.to_bytes(4, "little")
-            continue
-        if not piece:
-            continue
-        at = len(part)
-        starts.append(at)
-        owners.append(w)
-        n = len(piece)
-        part.extend([piece[k : k + 1] for k in range(n)])
-        after.extend(range(at + 1, at + n))
-        after.append(-1)
-        prior.append(-1)
-        prior.extend(range(at, at + n - 1))
-        for k in range(n - 1):
-            r = get(piece[k : k + 2])
-            if r is not None:
-                if r in index:
-                    index[r].append(at + k)
-                else:
-                    index[r] = [at + k]
-    queue = list(index)
-    heapq.heapify(queue)
-    while queue:
-        r = heapq.heappop(queue)
-        posted = index.pop(r)
-        posted.sort()
-        waiting: set[int] = set()
-        for i in posted:
-            left = part[i]
-            if left is None or (j := after[i]) < 0 or get(merged := left + part[j]) != r:
-                continue
-            if waiting and bisect_right(starts, i) in waiting:
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(queue, r)
-                index[r].append(i)
-                continue
-            part[i] = merged
-            part[j] = None
-            after[i] = k = after[j]
-            touched = []
-            if k >= 0:
-                prior[k] = i
-                touched.append((get(merged + part[k]), i))
-            p = prior[i]
-            if p >= 0:
-                touched.append((get(part[p] + merged), p))
-            for new, where in touched:
-                if new is not None:
-                    if new in index:
-                        index[new].append(where)
-                    else:
-                        index[new] = [where]
-                        heapq.heappush(queue, new)
-                    if new < r:
-                        waiting.add(bisect_right(starts, i))
-    for at, w in zip(starts, owners, strict=True):
-        ids = array("I")
-        while at >= 0:
-            ids.append(ranks[part[at]])
-            at = after[at]
-        out[w] = _little(ids)
-    return out
-
-
-def _little(ids: array) -> bytes:
-    import sys
-
-    if sys.byteorder == "big":
-        ids.byteswap()
-    return ids.tobytes()
+class Replay:
+    """The merges of one vocabulary; pairs of tokens are looked up by number, and each pair's rank is found once."""
 
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        import numpy as np
 
-class Memo:
-    """Two generations of a dictionary: when the young one is full it becomes the old one."""
+        self.ranks = ranks
+        self.bytes_of = {i: b for b, i in ranks.items()}
+        self.of_byte = [ranks[bytes([k])] for k in range(256)]
+        self.first = np.full((256, 256), -1, np.int32)
+        for token, i in ranks.items():
+            if len(token) == 2:
+                self.first[token[0], token[1]] = i
+        self.pair: dict[int, int] = {}
+
+    def rank(self, key: int) -> int:
+        """Rank of the pair left << 32 | right, or -1."""
+        if len(self.pair) > 1_000_000:
+            self.pair.clear()
+        found = self.pair[key] = self.ranks.get(self.bytes_of[key >> 32] + self.bytes_of[key & 0xFFFFFFFF], -1)
+        return found
 
-    def __init__(self, entries: int = MEMO_ENTRIES) -> None:
-        self.entries, self.young, self.old = entries, {}, {}
+    def __call__(self, pieces: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian unsigned 32-bit) of each piece.
 
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
-        return found
+        A piece that is itself a token is that token. Others are merged pair by pair: always the lowest rank in the
+        piece, leftmost first. Pieces do not touch each other, so one pass over the ranks serves them all; when a merge
+        creates a pair of a lower rank, the rest of that piece waits until this pair has been merged.
+        """
+        import numpy as np
 
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        out = [b""] * len(pieces)
+        owners = []
+        for w, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[w] = whole.to_bytes(4, "little")
+            elif piece:
+                owners.append(w)
+        if not owners:
+            return out
+        raw = np.frombuffer(b"".join([pieces[w] for w in owners]), np.uint8)
+        starts = np.cumsum([0, *[len(pieces[w]) for w in owners]])
+        after = np.arange(1, len(raw) + 1)
+        after[starts[1:] - 1] = -1
+        prior = np.arange(-1, len(raw) - 1)
+        prior[starts[:-1]] = -1
+        # the index: rank -> positions in ascending order
+        at_rank = self.first[raw[:-1], raw[1:]]
+        at_rank[starts[1:-1] - 1] = -1
+        order = np.argsort(at_rank, kind="stable")
+        listed, where = np.unique(at_rank[order], return_index=True)
+        cuts = [*where.tolist(), len(order)]
+        index = {r: order[a:b].tolist() for r, a, b in zip(listed.tolist(), cuts, cuts[1:], strict=False) if r >= 0}
+        part = np.array(self.of_byte)[raw].tolist()
+        after, prior, starts = after.tolist(), prior.tolist(), starts.tolist()
+        queue = list(index)
+        heapq.heapify(queue)
+        get, rank, push = self.pair.get, self.rank, heapq.heappush
+        while queue:
+            r = heapq.heappop(queue)
+            posted = index.pop(r)
+            posted.sort()
+            waiting: set[int] = set()
+            for i in posted:
+                left, j = part[i], after[i]
+                if left < 0 or j < 0:
+                    continue
+                key = left << 32 | part[j]
+                if get(key, -2) != r and rank(key) != r:
+                    continue
+                if waiting and bisect_right(starts, i) in waiting:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(queue, r)
+                    continue
+                part[i] = r
+                part[j] = -1
+                after[i] = k = after[j]
+                if k >= 0:
+                    prior[k] = i
+                    key = r << 32 | part[k]
+                    new = get(key, -2)
+                    if new == -2:
+                        new = rank(key)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(i)
+                        else:
+                            index[new] = [i]
+                            push(queue, new)
+                        if new < r:
+                            waiting.add(bisect_right(starts, i))
+                p = prior[i]
+                if p >= 0:
+                    key = part[p] << 32 | r
+                    new = get(key, -2)
+                    if new == -2:
+                        new = rank(key)
+                    if new >= 0:
+                        if new in index:
+                            index[new].append(p)
+                        else:
+                            index[new] = [p]
+                            push(queue, new)
+                        if new < r:
+                            waiting.add(bisect_right(starts, i))
+        left = np.array(part, np.int64)
+        alive = left >= 0
+        ids = left[alive].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(alive)))[starts].tolist()
+        for w, a, b in zip(owners, ends, ends[1:], strict=False):
+            out[w] = ids[4 * a : 4 * b]
+        return out
 
 
 class Encoder:
-    """Encodes blocks of texts; holds the ranks and the memo of one worker."""
+    """Encodes blocks of texts; holds the ranks and the memo of one worker.
+
+    The memo of stretches and the memo of pieces are bounded: when one is full, only what the current block used stays.
+    """
 
     def __init__(self, ranks_path: str, pattern: str) -> None:
         import re
 
         import regex
 
-        self.ranks = load_ranks(ranks_path)
+        self.replay = Replay(load_ranks(ranks_path))
         self.cut = regex.compile(pattern).findall
         # Before a lone blank between two visible characters a piece always ends, and the blank opens the next one.
         self.split = re.compile(r"(?<=\S)(?= \S)").split
-        self.memo, self.pieces = Memo(), Memo()
+        self.odd = re.compile(r" (?:(?=\s)|(?<=\s ))").search
+        self.memo: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def units(self, text: str) -> list[str]:
         """Stretches of text that can be encoded separately; joined they are the text."""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace() or any(not x or x[0].isspace() or x[-1].isspace() for x in rest):
+        if text[:1] == " " or text[-1:] == " " or self.odd(text):
             return self.split(text)
+        first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
+        memo, pieces = self.memo, self.pieces
         split = [self.units(x) for x in texts]
-        known: dict[str, bytes] = {}
-        missing: dict[str, list[bytes]] = {}
-        get = self.memo.get
-        for unit in set().union(*split):
-            found = get(unit)
-            if found is None:
-                missing[unit] = [x.encode("utf-8", "surrogatepass") for x in self.cut(unit)]
-            else:
-                known[unit] = found
-        words = set().union(*missing.values()) if missing else set()
-        got = {w: self.pieces.get(w) for w in words}
-        new = [w for w, ids in got.items() if ids is None]
-        for w, ids in zip(new, replay(new, self.ranks), strict=True):
-            got[w] = ids
-            if len(w) <= MEMO_CHARS:
-                self.pieces.put(w, ids)
+        used = set().union(*split)
+        missing = {u: [x.encode("utf-8", "surrogatepass") for x in self.cut(u)] for u in used.difference(memo)}
+        words = set().union(*missing.values())
+        new = list(words.difference(pieces))
+        pieces.update(zip(new, self.replay(new), strict=True))
+        at = pieces.__getitem__
         for unit, cut in missing.items():
-            known[unit] = ids = b"".join([got[w] for w in cut])
-            if len(unit) <= MEMO_CHARS:
-                self.memo.put(unit, ids)
-        at = known.__getitem__
-        return [b"".join(map(at, x)) for x in split]
-
-
-def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterable[tuple[int, int]]:
-    """Index ranges of texts whose characters sum to at most `most`, each of one text at least."""
+            memo[unit] = at(cut[0]) if len(cut) == 1 else b"".join(map(at, cut))
+        at = memo.__getitem__
+        out = [b"".join(map(at, x)) for x in split]
+        if len(memo) > MEMO_ENTRIES:
+            self.memo = {u: memo[u] for u in used if len(u) <= MEMO_CHARS}
+        else:
+            for u in [u for u in missing if len(u) > MEMO_CHARS]:
+                del memo[u]
+        if len(pieces) > MEMO_ENTRIES:
+            self.pieces = {w: pieces[w] for w in words if len(w) <= MEMO_CHARS}
+        else:
+            for w in [w for w in new if len(w) > MEMO_CHARS]:
+                del pieces[w]
+        return out
+
+
+def lengths(column) -> list[int]:
+    """Bytes of each value of an Arrow string or binary column; null has none."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_pylist()
+
+
+def blocks(sizes: list[int], most: int = BLOCK_CHARS) -> Iterable[tuple[int, int]]:
+    """Index ranges whose sizes sum to at most `most`, each of one value at least."""
     start = held = 0
-    for i, x in enumerate(texts):
-        n = len(x or "")
+    for i, n in enumerate(sizes):
         if held and held + n > most:
             yield start, i
             start, held = i, 0
         held += n + 1
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,11 +232,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches):
         import pyarrow as pa
 
+        gc.disable()  # nothing here makes cycles, and scanning the memos is slow
         made = Encoder(ranks_path, pattern)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made.encode(texts[a:b]), pa.binary())], names=["k", "ids"])
+            for a, b in blocks(lengths(batch.column(1))):
+                texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(made.encode(texts), pa.binary())], names=["k", "ids"])
 
     return plain.mapInArrow(run, f"k {id_type.simpleString()}, ids binary").toDF(id_col, "ids")
 
@@ -232,8 +253,10 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
         token = {i: b for b, i in load_ranks(ranks_path).items()}.__getitem__
         for batch in batches:
-            out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["k", "ids", "decoded"])
+            for a, b in blocks(lengths(batch.column(1)), 4 * BLOCK_CHARS):
+                part = batch.slice(a, b - a)
+                out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["k", "ids", "decoded"])
 
     return plain.mapInArrow(run, f"k {id_type.simpleString()}, ids binary, decoded binary").toDF(id_col, "ids", "decoded")
 

@@ -14,7 +14,6 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickspark.llm.bpe import Memo
 from tickspark.llm.common import filesystem, shared_path, written
 
 MAGIC = b"TSIDS001"
@@ -95,6 +94,24 @@ class EliasFano:
         return (where - np.arange(self.n)) << self.low_bits | bits @ (1 << np.arange(self.low_bits))
 
 
+class Memo:
+    """Two generations of a dictionary: when the young one is full it becomes the old one."""
+
+    def __init__(self, entries: int) -> None:
+        self.entries, self.young, self.old = entries, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.young[key] = found
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.entries:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each blank-free stretch that the memo lacks.
 
