@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import bpe, simhash, tokens
+from tickspark.llm import bpe, media, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(encoded, ranks))
 
 
+def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in an archive, read back through the data source."""
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents in ascending doc_id order, read back."""
     import public_tokenizers
@@ -36,13 +41,34 @@ def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of all pages, read back and reassembled."""
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
+        "op6_media_archive": op6_media_archive,
         "op8_elias_fano_ids": op8_elias_fano_ids,
+        "op10_warc_segments": op10_warc_segments,
     }
 
 
+#: Pages with equal html of 100 bytes or more refer to the smallest of their ids.
+OP10 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+q AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_warc_segments": OP10,
+    }
