@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tickspark.llm.common import connected_components, written
 
-#: Rows that the fullest shard should store at most; the number of vantage points follows from it and the row count.
-SHARD_ROWS = 20_000
+#: Rows that the fullest shard should store at most; the number of vantage points, two at least, follows from it and the row count.
+SHARD_ROWS = 200_000
 #: Share of random fingerprints in the fullest ring of one vantage point (the centre of a binomial of 64 fair bits).
 FULLEST_RING = 0.1
 #: Fingerprints from which vantage points are chosen.
@@ -169,7 +169,7 @@ def links(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
     spark = distinct.sparkSession
     n = distinct.count()
     sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(VANTAGE_SAMPLE).collect()]
-    depth, left = 1, n * FULLEST_RING
+    depth, left = 2, n * FULLEST_RING**2
     while left > shard_rows and depth < 4:
         depth, left = depth + 1, left * FULLEST_RING
     vantage = spread_out(sample, depth)
