@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import bpe, media, simhash, tokens, warc
+from tickspark.llm import bpe, lines, media, mixing, secret_scan, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by the rules' trigram queries."""
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the ranks of a public vocabulary."""
     import public_tokenizers
@@ -34,6 +39,11 @@ def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the chunks of lines that stand elsewhere first."""
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-id files of all documents in ascending doc_id order, read back."""
     import public_tokenizers
@@ -41,6 +51,11 @@ def op8_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digest(tokens.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op9_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the curriculum takes from every document, in training order."""
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WARC records of all pages, read back and reassembled."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -49,9 +64,12 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
+        "op4_trigram_secrets": op4_trigram_secrets,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
         "op6_media_archive": op6_media_archive,
+        "op7_line_chunks": op7_line_chunks,
         "op8_elias_fano_ids": op8_elias_fano_ids,
+        "op9_curriculum_mix": op9_curriculum_mix,
         "op10_warc_segments": op10_warc_segments,
     }
 
@@ -70,5 +88,8 @@ FROM r
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_trigram_secrets": secret_scan.sql(),
+        "op7_line_chunks": lines.SQL,
+        "op9_curriculum_mix": mixing.SQL,
         "op10_warc_segments": OP10,
     }
