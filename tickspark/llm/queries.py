@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import bpe, lines, media, mixing, secret_scan, simhash, tokens, warc
+from tickspark.llm import bpe, classifier, lines, media, mixing, secret_scan, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents from two co-trained views."""
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents: three-word shingles, links at two bits or fewer."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def op10_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_cotrained_quality": op1_cotrained_quality,
         "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
         "op4_trigram_secrets": op4_trigram_secrets,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
