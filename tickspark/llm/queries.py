@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.llm import bpe, classifier, lines, media, mixing, secret_scan, simhash, tokens, warc
+from tickspark.llm import bpe, classifier, lines, media, mixing, nndescent, secret_scan, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op2_simhash_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, by the rules' trigram queries."""
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_cotrained_quality": op1_cotrained_quality,
         "op2_simhash_vantage_tree": op2_simhash_vantage_tree,
+        "op3_nn_descent": op3_nn_descent,
         "op4_trigram_secrets": op4_trigram_secrets,
         "op5_bpe_merge_replay": op5_bpe_merge_replay,
         "op6_media_archive": op6_media_archive,
