@@ -8,18 +8,22 @@ document's global start is its file's base plus select(i - 1).
 
 from __future__ import annotations
 
+import gc
 import struct
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tickspark.llm.bpe import blocks, lengths
 from tickspark.llm.common import filesystem, shared_path, written
 
 MAGIC = b"TSIDS001"
 FOOTER = struct.Struct("<8sBQQQQQ")
 #: Ids after which a new file begins (a single longer document stays whole).
 FILE_IDS = 1 << 26
+#: Bytes of text that are encoded at once.
+BLOCK_BYTES = 3_000_000
 SAMPLE = 256
 
 
@@ -94,65 +98,76 @@ class EliasFano:
         return (where - np.arange(self.n)) << self.low_bits | bits @ (1 << np.arange(self.low_bits))
 
 
-class Memo:
-    """Two generations of a dictionary: when the young one is full it becomes the old one."""
-
-    def __init__(self, entries: int) -> None:
-        self.entries, self.young, self.old = entries, {}, {}
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.young[key] = found
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each blank-free stretch that the memo lacks.
 
-    Right for tokenizers whose pieces never hold or cross ASCII white space and that lower-case letters first.
+    Right for tokenizers whose pieces never hold or cross ASCII white space, that lower-case letters first, and for
+    which a run of letters is one piece that ends in a token with an end-of-word mark.
     """
 
+    #: Entries after which the memo is cut back to the current block, and words that the library is given at once.
+    ENTRIES, AT_ONCE = 600_000, 64
+
     def __init__(self, path: str) -> None:
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.memo = Memo(250_000)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.library.get_vocab()
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memo: dict[bytes, bytes] = {}
+
+    def ask(self, units: list[bytes]) -> None:
+        """Have the library encode units. Runs of letters are joined by blanks and told apart by their last tokens."""
         import numpy as np
 
+        texts = [x.decode() for x in units]
+        letters = [k for k, x in enumerate(texts) if x.isalpha()]
+        rest = [k for k, x in enumerate(texts) if not x.isalpha()]
+        parts = [letters[i : i + self.AT_ONCE] for i in range(0, len(letters), self.AT_ONCE)]
+        for i in range(0, len(parts), 64):
+            some = parts[i : i + 64]
+            for part, made in zip(some, self.library.encode_batch_fast([" ".join([texts[k] for k in part]) for part in some], add_special_tokens=False), strict=True):
+                ids = np.array(made.ids, self.kind)
+                last = np.flatnonzero(self.ends[ids]) + 1
+                if len(last) != len(part):
+                    rest += part
+                    continue
+                data, width, at = ids.tobytes(), ids.itemsize, 0
+                for k, end in zip(part, last.tolist(), strict=True):
+                    self.memo[units[k]] = data[at * width : end * width]
+                    at = end
+        for i in range(0, len(rest), 4096):
+            some = rest[i : i + 4096]
+            for k, made in zip(some, self.library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
+                self.memo[units[k]] = np.array(made.ids, self.kind).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        memo = self.memo
         # the normaliser lower-cases too; doing it for A-Z here makes more stretches equal
         split = [x.encode("utf-8", "replace").lower().split() for x in texts]
-        known, missing = {}, []
-        for unit in set().union(*split):
-            found = self.memo.get(unit)
-            if found is None:
-                # a run of ASCII letters and the points after it are pieces of their own
-                stem = unit.rstrip(b".,")
-                if len(stem) < len(unit) and stem.isalpha() and (a := self.memo.get(stem)) is not None and (b := self.memo.get(unit[len(stem) :])) is not None:
-                    known[unit] = a + b
-                else:
-                    missing.append(unit)
-            else:
-                known[unit] = found
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            for unit, made in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                known[unit] = ids = np.array(made.ids, self.kind).tobytes()
-                if len(unit) <= 40:
-                    self.memo.put(unit, ids)
-        return [b"".join([known[u] for u in x]) for x in split]
+        used = set().union(*split)
+        missing = used.difference(memo)
+        # a run of ASCII letters and the points after it are pieces of their own
+        stems = {u: u.rstrip(b".,") for u in missing if u[-1] in b".,"}
+        stems = {u: s for u, s in stems.items() if s.isalpha()}
+        self.ask(list(missing.difference(stems).union(stems.values(), (u[len(s) :] for u, s in stems.items())).difference(memo)))
+        for u, s in stems.items():
+            memo[u] = memo[s] + memo[u[len(s) :]]
+        out = [b"".join(map(memo.__getitem__, x)) for x in split]
+        if len(memo) > self.ENTRIES:
+            self.memo = {u: memo[u] for u in used if len(u) <= 40}
+        else:
+            for u in [u for u in missing if len(u) > 40]:
+                del memo[u]
+        return out
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -168,14 +183,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         import pyarrow as pa
         from pyspark import TaskContext
 
+        gc.disable()  # nothing here makes cycles, and scanning the memo is slow
         part, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer_path)
         end = end_id.to_bytes(int(encoder.kind[-1]), "little")
         width, out, roll = len(end), None, 0
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for i in range(0, len(texts), 512):
-                keys = batch.column(0).slice(i, 512)
-                for j, ids in enumerate(encoder.encode(texts[i : i + 512])):
+            for a, b in blocks(lengths(batch.column(1)), BLOCK_BYTES):
+                keys, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                for j, ids in enumerate(encoder.encode([x or "" for x in texts.to_pylist()])):
                     if out is not None and out.ids and out.ids + len(ids) // width >= file_ids:
                         yield out.close()
                         out, roll = None, roll + 1
