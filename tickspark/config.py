@@ -101,7 +101,7 @@ def metrics_config(source: str | Path | Mapping) -> tuple[Metric, ...]:
     """Metrics of a configuration, disabled ones included; repeated names and unknown types are errors."""
     raw = _load(source, "metrics")
     _keys(raw, "metrics configuration", {"schema_version"}, {"metrics"})
-    entries = raw.get("metrics") or []
+    entries = [] if raw.get("metrics") is None else raw["metrics"]
     if not isinstance(entries, list):
         raise ConfigError("'metrics' must be a list")
     out = []

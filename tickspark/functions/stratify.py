@@ -150,8 +150,9 @@ def stratify(trades: DataFrame, metrics: Sequence[str], binnings: Sequence[Binni
     schema = "metric string, mode string, cuts array<double>, even boolean, labels array<struct<left:double,right:double>>, min_count int"
     rows = _long(trades, present, value_col) if present else None
     plans = []
+    by_clip = {clip: figures(rows, clip) if rows is not None else {} for clip in {b.clip for b in binnings}}  # modes share them
     for b in binnings:
-        found = figures(rows, b.clip) if rows is not None else {}
+        found = by_clip[b.clip]
         for m in present:
             if m not in found:
                 log.warning("no finite data for metric %s", m)

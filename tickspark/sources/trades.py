@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.sources.ticks import whole_micros
+
 REQUIRED = ("entry_time", "exit_time", "pnl_pips")
 #: Folders of a run that are not pairs.
 NOT_PAIRS = ("logs", "analysis")
@@ -23,7 +25,7 @@ def load_trades(spark: SparkSession, path: str) -> DataFrame:
     if df.isEmpty():
         raise ValueError(f"Trades file {path} contains no rows")
     kinds = dict(df.dtypes)
-    stamp = lambda c: F.timestamp_micros(F.floor(F.col(c) / 1000).cast("long")) if kinds[c] == "bigint" else F.expr(f"try_cast(`{c}` AS TIMESTAMP)")
+    stamp = lambda c: F.timestamp_micros(whole_micros(F.col(c))) if kinds[c] == "bigint" else F.expr(f"try_cast(`{c}` AS TIMESTAMP)")
     return df.withColumns({c: stamp(c) for c in REQUIRED[:2]}).orderBy("exit_time")
 
 
