@@ -52,7 +52,9 @@ def rolling_moments(ts_us: np.ndarray, x: np.ndarray, lookback_s: float, first:
         mean = windowed(d) / total
         std = np.sqrt(np.maximum(windowed(d * d) / total - mean * mean, 0.0))
     mean[total <= 0] = np.nan
-    return mean + centre, std
+    alone = head == np.arange(n)  # one sample is its own mean, without rounding
+    mean, std = np.where(alone, x, mean + centre), np.where(alone, 0.0, std)
+    return mean, std
 
 
 def zscore(ts_us, mid, lookback_s, first=True) -> dict[str, np.ndarray]:

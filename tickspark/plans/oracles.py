@@ -61,10 +61,10 @@ s AS (SELECT *, CASE WHEN dt IS NULL THEN 1e-9 ELSE greatest(dt, 1e-6) END AS w,
              mid - first(mid) OVER (PARTITION BY instrument ORDER BY i) AS x FROM n),
 g AS (SELECT *, max(fin) OVER (PARTITION BY instrument ORDER BY i) AS reach, ts_us - {6 * H * 1_000_000} AS cut FROM s),
 h AS (SELECT a.instrument, a.i, min(b.i) AS k FROM g a JOIN g b ON a.instrument = b.instrument AND b.i <= a.i AND b.reach > a.cut GROUP BY a.instrument, a.i),
-z AS (SELECT a.instrument, a.i, a.seq, a.x, sum(q.w) AS sw, sum(q.w * q.x) AS sx, sum(q.w * q.x * q.x) AS sxx FROM g a JOIN h USING (instrument, i)
+z AS (SELECT a.instrument, a.i, a.seq, a.x, a.i = h.k AS alone, sum(q.w) AS sw, sum(q.w * q.x) AS sx, sum(q.w * q.x * q.x) AS sxx FROM g a JOIN h USING (instrument, i)
       JOIN LATERAL (SELECT b.x, CASE WHEN b.i = h.k AND b.ts_us < a.cut THEN least(b.w, greatest((b.fin - a.cut) / 1e6, 0.0)) ELSE b.w END AS w FROM g b
-                    WHERE b.instrument = a.instrument AND b.i BETWEEN h.k AND a.i) q ON true GROUP BY a.instrument, a.i, a.seq, a.x),
-d AS (SELECT *, x - sx / sw AS residual, sqrt(greatest(sxx / sw - (sx / sw) * (sx / sw), 0)) AS std FROM z)
+                    WHERE b.instrument = a.instrument AND b.i BETWEEN h.k AND a.i) q ON true GROUP BY a.instrument, a.i, a.seq, a.x, h.k),
+d AS (SELECT *, CASE WHEN alone THEN 0.0 ELSE x - sx / sw END AS residual, CASE WHEN alone THEN 0.0 ELSE sqrt(greatest(sxx / sw - (sx / sw) * (sx / sw), 0)) END AS std FROM z)
 SELECT instrument, seq, round(CASE WHEN std > 1e-12 THEN residual / std ELSE 0 END, 4) + 0.0 AS z_z_score, round(residual, 4) + 0.0 AS z_rolling_residual,
        round(residual / {6 * H}, 4) + 0.0 AS d_drift, CAST(sign(residual / {6 * H}) AS DOUBLE) AS d_drift_sign FROM d"""
 
