@@ -95,22 +95,64 @@ s AS (SELECT *, coalesce(bool_or(reached) OVER (PARTITION BY instrument ORDER BY
              CASE WHEN diff >= 0 AND lag(diff) OVER w < 0 THEN 1 WHEN diff <= 0 AND lag(diff) OVER w > 0 THEN -1 ELSE 0 END AS direction FROM u WINDOW w AS (PARTITION BY instrument ORDER BY i)),
 o AS (SELECT *, direction <> 0 AND rate > 2 AND live AS should_open, fast > 75 AND live AS should_close, CASE WHEN direction <> 0 AND NOT rate > 2 THEN 'entry_predicate_blocked' ELSE 'crossover_entry' END AS reason FROM s)"""
 
-TRADES_CROSSOVER = f"""WITH RECURSIVE {SIGNALS},
+def trades(signals: str, tp: float, sl: float, timeout_s: int) -> str:
+    """Ledger of the CTEs `signals`, whose last is o (instrument, seq, i, ts_us, mid, direction, should_open, should_close).
+
+    Every candidate's close is found on its own; a walk over the candidates then accepts those that come when the one before has closed.
+    """
+    return f"""WITH RECURSIVE {signals},
 z AS (SELECT instrument, max(i) AS last_i FROM o GROUP BY instrument),
-k AS (SELECT a.instrument, a.seq, a.i, a.direction, a.mid + 30 * a.direction AS tp, a.mid - 20 * a.direction AS sl, f.i AS fill_i, f.ts_us AS entry_us, f.mid AS entry_price, z.last_i FROM o a JOIN z USING (instrument)
+k AS (SELECT a.instrument, a.seq, a.i, a.direction, a.mid + {tp} * a.direction AS tp, a.mid - {sl} * a.direction AS sl, f.i AS fill_i, f.ts_us AS entry_us, f.mid AS entry_price, z.last_i FROM o a JOIN z USING (instrument)
       JOIN o f ON f.instrument = a.instrument AND f.i = least(a.i + 1, z.last_i) WHERE a.should_open),
 j AS (SELECT k.instrument, k.seq, min(b.i) AS close_i FROM k JOIN o b ON b.instrument = k.instrument AND b.i > k.fill_i
-      AND (b.should_close OR (b.mid - k.tp) * k.direction >= 0 OR (b.mid - k.sl) * k.direction <= 0 OR b.ts_us - k.entry_us >= {6 * H * 1_000_000}) GROUP BY k.instrument, k.seq),
+      AND (b.should_close OR (b.mid - k.tp) * k.direction >= 0 OR (b.mid - k.sl) * k.direction <= 0 OR b.ts_us - k.entry_us >= {timeout_s * 1_000_000}) GROUP BY k.instrument, k.seq),
 d AS (SELECT k.*, coalesce(j.close_i, k.last_i) AS close_i, j.close_i IS NULL AS ended FROM k LEFT JOIN j USING (instrument, seq)),
 y AS (SELECT d.*, b.ts_us AS exit_us,
              CASE WHEN ended THEN 'DATA_END' WHEN b.should_close THEN 'far_exit' WHEN (b.mid - sl) * d.direction <= 0 THEN 'SL' WHEN (b.mid - tp) * d.direction >= 0 THEN 'TP' ELSE 'TIMEOUT' END AS outcome_label, b.mid AS px,
              row_number() OVER (PARTITION BY d.instrument ORDER BY d.i) AS nth FROM d JOIN o b ON b.instrument = d.instrument AND b.i = d.close_i),
-r AS (SELECT instrument, nth, true AS taken, close_i AS until FROM y WHERE nth = 1
-      UNION ALL SELECT y.instrument, y.nth, y.i >= r.until, CASE WHEN y.i >= r.until THEN y.close_i ELSE r.until END FROM r JOIN y ON y.instrument = r.instrument AND y.nth = r.nth + 1),
+r AS (SELECT instrument, nth, true AS taken, close_i + CAST(ended AS INTEGER) AS until FROM y WHERE nth = 1
+      UNION ALL SELECT y.instrument, y.nth, y.i >= r.until, CASE WHEN y.i >= r.until THEN y.close_i + CAST(y.ended AS INTEGER) ELSE r.until END FROM r JOIN y ON y.instrument = r.instrument AND y.nth = r.nth + 1),
 q AS (SELECT y.*, CASE outcome_label WHEN 'SL' THEN sl WHEN 'TP' THEN tp ELSE px END AS exit_price FROM y JOIN r USING (instrument, nth) WHERE r.taken)
 SELECT instrument AS pair, seq AS signal_seq, entry_us, exit_us, direction, round(entry_price, 6) AS entry_price, round(exit_price, 6) AS exit_price,
        round((exit_price - entry_price) * direction, 6) + 0.0 AS pnl_pips, round((exit_us - entry_us) / 1e6, 6) AS holding_seconds, outcome_label FROM q"""
 
+
+TRADES_CROSSOVER = trades(SIGNALS, 30, 20, 6 * H)
+TRADES_STUB = f"SELECT * FROM ({TRADES_CROSSOVER}) WHERE false"
+
+
+def reversion(source: str) -> str:
+    """CTEs whose last, st, has the machine's state at every tick of `source` (instrument, i, ts_us, mid): lookback 6 hours, threshold 40, recency 10 minutes.
+
+    A reference is the latest earlier tick that no tick up to now has reached or passed and that is far and old enough.
+    """
+
+    def side(name: str, past: str, away: str) -> str:
+        return f"""
+{name}_g AS (SELECT a.instrument, a.i, min(b.i) AS gone FROM {source} a JOIN {source} b ON a.instrument = b.instrument AND b.i > a.i AND b.mid {past} a.mid GROUP BY a.instrument, a.i),
+{name} AS (SELECT n.instrument, n.i, max(j.i) AS ref FROM {source} n JOIN {source} j ON j.instrument = n.instrument AND j.i < n.i AND j.ts_us >= n.ts_us - {6 * H * 1_000_000} AND j.ts_us <= n.ts_us - 600000000 AND {away} >= 40
+           LEFT JOIN {name}_g g ON g.instrument = j.instrument AND g.i = j.i WHERE coalesce(g.gone > n.i, true) GROUP BY n.instrument, n.i)"""
+
+    return f"""{side('lo', '<=', 'n.mid - j.mid')}, {side('hi', '>=', 'j.mid - n.mid')},
+rc AS (SELECT n.instrument, n.i, n.ts_us, n.mid, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.ts_us ELSE b.ts_us END AS ref_us, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.mid ELSE b.mid END AS ref,
+              CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN -1 WHEN b.ts_us IS NOT NULL THEN 1 END AS side
+       FROM {source} n LEFT JOIN lo USING (instrument, i) LEFT JOIN hi USING (instrument, i) LEFT JOIN {source} a ON a.instrument = n.instrument AND a.i = lo.ref LEFT JOIN {source} b ON b.instrument = n.instrument AND b.i = hi.ref),
+st AS (SELECT instrument, i, ts_us, mid, 0 AS position, CAST(NULL AS DOUBLE) AS ref, CAST(NULL AS BIGINT) AS ref_us, CAST(NULL AS BIGINT) AS open_us, CAST(NULL AS DOUBLE) AS open_mid FROM rc WHERE i = 1
+       UNION ALL SELECT instrument, i, ts_us, mid, CASE WHEN keep THEN position ELSE coalesce(side, 0) END, CASE WHEN keep THEN old_ref ELSE new_ref END, CASE WHEN keep THEN old_us ELSE new_us END,
+                        CASE WHEN keep THEN open_us WHEN side IS NOT NULL THEN ts_us END, CASE WHEN keep THEN open_mid WHEN side IS NOT NULL THEN mid END
+       FROM (SELECT c.instrument, c.i, c.ts_us, c.mid, c.side, c.ref AS new_ref, c.ref_us AS new_us, s.position, s.ref AS old_ref, s.ref_us AS old_us, s.open_us, s.open_mid,
+                    s.position <> 0 AND abs(c.mid - s.ref) > 1 AND c.side IS NOT NULL AND abs(c.ref - s.ref) <= 0.1 AS keep FROM st s JOIN rc c ON c.instrument = s.instrument AND c.i = s.i + 1))"""
+
+
+METRIC_REVERSION = f"""WITH RECURSIVE {TICKS}, {PLACED}, {reversion('n')}
+SELECT st.instrument, n.seq, CAST(position AS DOUBLE) AS rev_position, round(ref, 6) AS rev_reference_price, round(st.mid - ref, 6) + 0.0 AS rev_distance_from_reference, round((st.ts_us - ref_us) / 1e6, 6) AS rev_reference_age_seconds,
+       round(open_mid + 30 * position, 6) AS rev_tp_price, round(open_mid - 60 * position, 6) AS rev_sl_price, round((st.ts_us - open_us) / 1e6, 6) AS rev_position_open_age_seconds FROM st JOIN n USING (instrument, i)"""
+TRADES_REVERSION = trades(f"""{TICKS}, {PLACED}, {reversion('n')},
+c AS (SELECT a.instrument, a.i, count(*) AS c FROM n a JOIN n b ON a.instrument = b.instrument AND b.i <= a.i AND b.ts_us > a.ts_us - {3 * H * 1_000_000} GROUP BY a.instrument, a.i),
+u AS (SELECT st.*, n.seq, c.c AS rate, st.ts_us - first(st.ts_us) OVER (PARTITION BY instrument ORDER BY i) >= 86400000000 AS reached, coalesce(lag(position) OVER (PARTITION BY instrument ORDER BY i), 0) AS before FROM st JOIN n USING (instrument, i) JOIN c USING (instrument, i)),
+o AS (SELECT instrument, seq, i, ts_us, mid, position AS direction, false AS should_close,
+             position <> 0 AND position <> before AND rate > 2 AND coalesce(bool_or(reached) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS should_open FROM u)""", 30, 60, 12 * H)
+
 #: The ledger of sample_trades().
 LEDGER = """
 e AS (SELECT event_type AS pair, event_id AS signal_seq, epoch_us(ts) AS entry_us, epoch_us(ts) + (event_id * 7919 % 7200 + 60) * 1000000 AS exit_us, round(value, 2) - 50 AS pnl_pips,
@@ -194,6 +236,9 @@ def oracle_sql() -> dict[str, str]:
         "predicates": PREDICATES,
         "signals_crossover": f"WITH {SIGNALS} SELECT instrument, seq, live, direction, should_open, should_close, reason FROM o",
         "trades_crossover": TRADES_CROSSOVER,
+        "trades_stub": TRADES_STUB,
+        "metric_threshold_reversion": METRIC_REVERSION,
+        "trades_reversion": TRADES_REVERSION,
         "performance": PERFORMANCE,
         "equity_curve": EQUITY,
         "outcomes": OUTCOMES,
