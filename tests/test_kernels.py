@@ -73,6 +73,13 @@ def test_vol_and_rank():
     assert math.isnan(out["vol_percentile"][0]) and out["vol_ewma"][1] == 0.0
 
 
+def test_smoother_drops_its_first_value():
+    us, _, x = series(5)
+    r = np.log(x[1:] / x[:-1])
+    np.testing.assert_allclose(K.smoother(us[1:], r, 45, 2), K.log_variance(us, x, 45)[1:], rtol=1e-12)
+    assert K.smoother(us[:1], x[:1], 45).tolist() == [0.0]
+
+
 def test_rank_known_values():
     us = np.array([0, 2_000_000, 4_000_000])
     ranks = K.percentile_ranks(us, np.array([0.0, 0.2, 1.6]), np.array([0.0, 1.0, 2.0]), 10)

@@ -97,6 +97,16 @@ def ewma_slope(ts_us, x, tau_s, window_s, initial=None) -> dict[str, np.ndarray]
     return {"ewma": y, "slope": np.where(oldest == np.arange(len(y)), np.nan, (y - y[oldest]) / span)}
 
 
+def smoother(ts_us, x, tau_s, power: int = 1) -> np.ndarray:
+    """Exponential average of x ** power whose first value is 0: the first x only starts the clock."""
+    out, y = np.zeros(len(x)), 0.0
+    keep = np.exp(-np.maximum(np.diff(ts_us) / 1e6, FIRST_WEIGHT) / tau_s).tolist()
+    for i, (a, v) in enumerate(zip(keep, x[1:].tolist(), strict=True), 1):
+        y = a * y + (1 - a) * v**power
+        out[i] = y
+    return out
+
+
 def log_variance(ts_us, mid, tau_s, first=True) -> np.ndarray:
     """Smoothed squared log return: 0 at the first two ticks (the first return only starts the smoother)."""
     n = len(mid)
