@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.llm.common import written
+
 #: Mean lines per chunk; words above which a line is a chunk; words that a chunk of several lines must have.
 MEAN_LINES, LONG_WORDS, LEAST_WORDS = 4, 50, 10
+#: Repeated hashes (8 bytes each) that are broadcast at most; more of them are joined by a shuffle of the chunks.
+BROADCAST_HASHES = 1_000_000
 
 
 def let(value: Column, body) -> Column:
@@ -49,7 +53,9 @@ def removals(docs: DataFrame) -> DataFrame:
     """(id, mark, parts) of rows (id, mark, text): the chunks to remove from each text."""
     found = docs.filter(F.col("text").isNotNull()).select("id", "mark", F.explode(chunks(F.col("text"))).alias("c")).select("id", "mark", "c.*")
     found = found.filter(((F.col("lines") > 1) & (F.col("words") >= LEAST_WORDS)) | (F.col("words") > LONG_WORDS)).withColumn("hash", F.xxhash64("body"))
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
+    if again.count() <= BROADCAST_HASHES:
+        again = F.broadcast(again)
     nominated = found.select("id", "mark", "part", "hash", "body").join(again, "hash")
     place = F.struct("id", "mark", "part")
     classes = nominated.groupBy("hash", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
