@@ -137,26 +137,42 @@ def percentile_ranks(ts_us, y, edges: np.ndarray, horizon_s: float, first=True)
     gap = gaps(ts_us).tolist()
     bins = bin_of(edges, y)
     frac = np.clip((y - edges[bins]) / (edges[bins + 1] - edges[bins]), 0.0, 1.0).tolist()
-    bins, weights = bins.tolist(), np.zeros(len(edges) - 1)
+    bins, weights = bins.tolist(), [0.0] * (len(edges) - 1)
     end = (ts_us / 1e6).tolist()
     left = [e - g for e, g in zip(end, gap, strict=True)]
     head = begin = 1 if first else 0
-    total = 0.0
+    # y moves little from tick to tick, so the weight below its bin is carried along; now and then it is summed anew
+    total = lower = 0.0
+    at = 0
     for i in range(begin, n):
-        b = bins[i]
-        weights[b] += end[i] - left[i]
-        total += end[i] - left[i]
-        cutoff = end[i] - horizon_s
+        b, now = bins[i], end[i]
+        w = now - left[i]
+        weights[b] += w
+        total += w
+        if b < at:
+            lower += w
+        cutoff = now - horizon_s
         while head <= i and end[head] <= cutoff:
-            weights[bins[head]] -= end[head] - left[head]
-            total -= end[head] - left[head]
+            k, w = bins[head], end[head] - left[head]
+            weights[k] -= w
+            total -= w
+            if k < at:
+                lower -= w
             head += 1
         if head <= i and left[head] < cutoff:
-            weights[bins[head]] -= cutoff - left[head]
-            total -= cutoff - left[head]
+            k, w = bins[head], cutoff - left[head]
+            weights[k] -= w
+            total -= w
+            if k < at:
+                lower -= w
             left[head] = cutoff
+        if b != at:
+            lower += sum(weights[at:b]) if b > at else -sum(weights[b:at])
+            at = b
+        if not i & 1023:
+            lower, total = sum(weights[:at]), sum(weights)
         if total > 0:
-            out[i] = (weights[:b].sum() + weights[b] * frac[i]) / total
+            out[i] = (lower + weights[b] * frac[i]) / total
     return out
 
 
@@ -206,6 +222,8 @@ class Extremes:
         Both distance and age grow towards the head, so the newest is found by halving.
         """
         low, high = self.head, len(self.prices) - 1  # the last one is this tick
+        if low >= high or self.sign * (self.prices[low] - price) < threshold:
+            return -1
         while low < high:
             k = (low + high) // 2
             if self.sign * (self.prices[k] - price) >= threshold and ts - self.times[k] >= least_age_us:

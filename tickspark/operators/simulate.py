@@ -51,7 +51,9 @@ def signals(metrics: DataFrame, strategy: Strategy, pip_size: float, warmup_s: f
     exit_ok = all_hold(strategy.exit_predicates, metrics.schema)
     if not strategy.exit_predicates and not strategy.empty_exit_closes:
         exit_ok = F.lit(False)
-    decided = live(metrics.withColumns({"entry_ok": entry_ok, "exit_ok": exit_ok}), warmup_s)
+    # one exchange for the windows, the engine and the ledger; a fixed number of partitions keeps the Python passes parallel
+    dealt = metrics.repartition(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument")
+    decided = live(dealt.withColumns({"entry_ok": entry_ok, "exit_ok": exit_ok}), warmup_s)
     intents = strategy.params.apply(decided, pip_size)
     reason = F.when(F.col("sig_open") & ~F.col("entry_ok"), "entry_predicate_blocked").otherwise(strategy.entry_name)
     return intents.withColumns({"should_open": F.col("sig_open") & F.col("entry_ok") & F.col("live"), "should_close": F.col("exit_ok") & F.col("live"), "reason": reason}).drop("entry_ok", "exit_ok")
