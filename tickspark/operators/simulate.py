@@ -81,10 +81,10 @@ def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_col
     schema = "instrument string, " + ", ".join(f"{n} {k}" for n, k, _ in LEDGER) + "".join(f", `{c}` {types[c]}" for c in kept)
 
     def run(batches):
-        ledger, at_signal = None, {}
+        ledger, at_signal = None, None
         for piece, first, last in runs(batches):
             if first:
-                ledger, at_signal = kernels.Ledger(pip_size, strategy.exit_name, *multiples), {}
+                ledger, at_signal = kernels.Ledger(pip_size, strategy.exit_name, *multiples), None
             get = {c: numpy_of(piece, c) for c in ("seq", "ts_us", "mid", "should_open", "sig_direction", "sig_tp", "sig_sl", "sig_timeout", "sig_threshold", "should_close", "live")}
             alive = np.flatnonzero(get["live"])
             start = alive[0] if len(alive) else len(get["seq"])
@@ -92,15 +92,23 @@ def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_col
             done = ledger.feed(*cut.values())
             if last:
                 done = done + ledger.finish()
-            places = {int(s): i for i, s in enumerate(get["seq"])} if done or ledger.trade else {}
-            row_of = lambda s: piece.slice(places[s], 1) if s in places else at_signal[s]
+            here = get["seq"]
+
+            def rows_of(closed_trades, piece=piece, here=here, carried=at_signal):
+                """Rows at the trades' signals, in order; only the first can have been signalled in an earlier piece."""
+                wanted = np.array([t["signal_seq"] for t in closed_trades], np.int64)
+                at = np.minimum(np.searchsorted(here, wanted), len(here) - 1)
+                late = 0 if here[at[0]] == wanted[0] else 1
+                taken = piece.take(pa.array(at[late:]))
+                return pa.Table.from_batches([carried, taken] if late else [taken]).combine_chunks()
+
             if done:
-                rows = pa.Table.from_batches([row_of(t["signal_seq"]) for t in done])
+                rows = rows_of(done)
                 columns = [rows.column("instrument").combine_chunks()]
                 columns += [pa.array([t[n] for t in done], kind) for n, _, kind in LEDGER]
                 columns += [rows.column(c).combine_chunks() for c in kept]
                 yield pa.RecordBatch.from_arrays(columns, names=["instrument", *(n for n, _, _ in LEDGER), *kept])
-            at_signal = {ledger.trade["signal_seq"]: row_of(ledger.trade["signal_seq"])} if ledger.trade else {}
+            at_signal = rows_of([ledger.trade]).to_batches()[0] if ledger.trade else None
 
     closed = map_arrow(needed, run, schema)
     time = lambda c: F.timestamp_micros(c)
