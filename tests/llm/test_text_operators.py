@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tickspark.llm import bpe, media, simhash, tokens, warc
+from tickspark.llm import bpe, jaccard, media, simhash, tokens, warc
 from tickspark.llm.common import UnionFind, connected_components, filesystem
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -195,6 +195,29 @@ def test_near_duplicates_odd(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_copies_by_jaccard(spark, odd, none, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    shared, texts = word(60), []
+    for n in (3, 12, 60, 200, 200):
+        base = word(n)
+        for k in range(14):
+            t = list(base)
+            for _ in range(k // 3):
+                t[rng.integers(len(t))] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(t if k % 2 else t[: len(t) - k // 4]))
+    texts += [" ".join(shared + word(40)) for _ in range(12)] + ["", None, " "]
+    sets = {i: frozenset(tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))) for i, t in enumerate(texts)}
+    wanted = plain_components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()} == wanted
+    loose = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows).collect()}
+    assert len(set(wanted.values())) < len(set(loose.values()))  # two bits lose near copies
+    assert jaccard.near_duplicates(odd).count() == odd.count() and jaccard.near_duplicates(none).count() == 0
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
 def test_components(spark, kind):
     rng = np.random.default_rng(3)
