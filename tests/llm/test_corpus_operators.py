@@ -160,6 +160,46 @@ def test_passages_stay_once(spark):
     assert out[20].text == rows[10][1] and out[21].lines_removed >= 25 and out[21].text.startswith("first 1 of its kind")
 
 
+def plain_passages(rows):
+    """Texts without the lines of runs of over 50 words that stand earlier, not overlapping; by all runs."""
+    split = [(i, (t.split("\n"))) for i, t in sorted(rows)]
+    first, out = {}, {}
+    for i, ls in split:
+        lost = set()
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                if sum(x.count(" ") + 1 for x in ls[a:b]) > 50:
+                    where, end = first.setdefault("\n".join(ls[a:b]), (i, b))
+                    if where != i or end <= a:
+                        lost |= set(range(a, b))
+        out[i] = "\n".join(x for k, x in enumerate(ls) if k not in lost)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 3, 6])
+def test_short_passages_stay_once(spark, size):
+    passage = "\n".join(" ".join(f"p{size}l{k}w{j}" for j in range(60 // size)) for k in range(size))
+    rows = [(i, f"head {i} of text\n{passage}\ntail {i} of text") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in lines.drop_passages(df).collect()}
+    assert out == {i: rows[0][1] if i == 0 else f"head {i} of text\ntail {i} of text" for i in range(8)}
+
+
+def test_passages_like_all_runs(spark, odd, none):
+    rng = np.random.default_rng(4)
+    pool = [" ".join(f"l{k}w{j}" for j in range(int(rng.integers(1, 40)))) for k in range(12)]
+    rows = []
+    for i in range(40):
+        own = [f"own {i} {k} " + "z " * int(rng.integers(0, 60)) for k in range(6)]
+        at = int(rng.integers(0, 8))
+        rows.append((i, "\n".join([*own[:3], *pool[at : at + int(rng.integers(1, 6))], *own[3:], *(own[:3] if i % 3 == 0 else [])])))
+    rows.append((40, "\n".join(["a b c d e f g h i j k l m n o p q r s t"] * 9)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.drop_passages(df).collect()} == plain_passages(rows)
+    assert lines.drop_passages(odd).count() == odd.count() and lines.drop_passages(none).count() == 0
+    assert lines.drop_passages(odd).columns == odd.columns
+
+
 def test_lines_odd(spark, odd, none):
     out = lines.dedup(odd, length_col="n_chars")
     rows = out.collect()

@@ -4,11 +4,12 @@ A rolling hash over the hashes of a line and the line before it decides whether
 passages are cut alike wherever they stand. A line of over LONG_WORDS words is a chunk of its own. A chunk of several
 lines, or of one long line, that occurs again anywhere is kept where it stands first and removed elsewhere.
 Hash counts alone only nominate: chunks are grouped by their bytes before anything is removed.
+Chunks miss passages in which no chunk lies whole; drop_passages removes every repeated passage of over LONG_WORDS words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import written
@@ -85,6 +86,51 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remov
     return joined.select(*fields, lost.cast("long").alias(removed_col))
 
 
+def windows(docs: DataFrame) -> DataFrame:
+    """(id, mark, start, size, hash): the least runs of lines of over LONG_WORDS words, from each line and up to each line.
+
+    Every line of a longer run that stands elsewhere too lies in such a run that stands there too.
+    """
+    hashed = docs.filter(F.col("text").isNotNull()).select("id", "mark", F.transform(F.split("text", "\n", -1), lambda x: F.xxhash64(x)).alias("hs"), F.transform(F.split("text", "\n", -1), lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int")).alias("ws"))
+    each = hashed.dropDuplicates(["id", "mark"]).select("id", "mark", F.posexplode(F.arrays_zip("hs", "ws")).alias("i", "x")).select("id", "mark", "i", F.col("x.hs").alias("h"), F.col("x.ws").cast("long").alias("w"))
+    row = Window.partitionBy("id", "mark")
+    ends = each.withColumn("end", F.sum("w").over(row.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("w"))
+    ahead, behind = row.orderBy("begin").rangeBetween(0, LONG_WORDS), row.orderBy("end").rangeBetween(-LONG_WORDS, 0)
+    over = ends.select("id", "mark", "i", "w", *[f(c).over(w).alias(n + k) for k, w in (("ahead", ahead), ("behind", behind)) for f, c, n in ((F.collect_list, "h", "hs_"), (F.sum, "w", "words_"))])
+    forward = F.when(F.col("words_ahead") > LONG_WORDS, F.struct(F.col("i").alias("start"), F.size("hs_ahead").alias("size"), F.xxhash64("hs_ahead").alias("hash")))
+    # one whose last line is needed is also the least from its first line
+    last = (F.col("words_behind") > LONG_WORDS) & (F.col("words_behind") - F.col("w") > LONG_WORDS)
+    back = F.when(last, F.struct((F.col("i") - F.size("hs_behind") + 1).alias("start"), F.size("hs_behind").alias("size"), F.xxhash64("hs_behind").alias("hash")))
+    return over.select("id", "mark", F.explode(F.array_compact(F.array(forward, back))).alias("x")).select("id", "mark", "x.*")
+
+
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines of any passage (whole lines, over LONG_WORDS words) of which an equal one stands earlier.
+
+    Order of places and repeated rows as in dedup; a passage that overlaps its own first place stays. Hashes only
+    nominate: what is removed has an equal SHA-256 of its bytes.
+    """
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    found = written(windows(marked), "windows")
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "hashes")
+    if again.count() <= BROADCAST_HASHES:
+        again = F.broadcast(again)
+    same = lambda a, b: a["id"].eqNullSafe(b["own_id"]) & (a["mark"] == b["own_mark"])
+    asked = found.join(again, "hash").groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.collect_list(F.struct("start", "size")).alias("asked"))
+    texts = marked.select("id", "mark", "text")
+    digests = lambda lines: F.transform("asked", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), F.sha2(F.array_join(F.slice(lines, x["start"] + 1, x["size"]), "\n"), 256).alias("digest")))
+    nominated = texts.join(asked, same(texts, asked)).select("id", "mark", F.explode(let(F.split("text", "\n", -1), digests)).alias("x")).select("id", "mark", "x.*").distinct()
+    nominated = written(nominated, "nominated")
+    first = nominated.groupBy("digest").agg(F.min(F.struct("id", "mark", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    elsewhere = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")))
+    later = nominated.join(first, "digest").filter(elsewhere | (F.col("first.start") + F.col("size") <= F.col("start")))
+    cut = later.groupBy(F.col("id").alias("own_id"), F.col("mark").alias("own_mark")).agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("start") + F.col("size") - 1)))).alias("lost"))
+    joined = marked.join(cut, same(marked, cut), "left")
+    stay = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "lost"), lambda i: F.get(lines, i))
+    new = F.when(F.col("lost").isNotNull(), F.array_join(let(F.split("text", "\n", -1), stay), "\n")).otherwise(F.col("text"))
+    return joined.select(*[new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 #: The same in DuckDB SQL, for tables whose ids do not repeat.
 SQL = """
 WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
