@@ -100,6 +100,33 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert got == sorted(plain_links(rows))
 
 
+def planted(n=1200, pairs=40, dim=64, seed=6):
+    """n Gaussian vectors and `pairs` more, each of cosine 0.905 to 0.95 with one of the first."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, 1, (n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(0, 1, (pairs, dim))
+    u -= (u * x[:pairs]).sum(axis=1, keepdims=True) * x[:pairs]
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.905, 0.95, (pairs, 1))
+    return [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, c * x[:pairs] + np.sqrt(1 - c * c) * u]))]
+
+
+def searched(spark, rows):
+    df = embeddings(spark, rows).select(F.col("vec_id").alias("cid"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.lit(1).cast("long").alias("copies"), F.col("vec_id").alias("least"))
+    return nndescent.groups(nndescent.written(nndescent.units(df), "classes"), len(rows[0][1]), len(rows), 0.9)
+
+
+def test_audit_sees_isolated_links(spark, monkeypatch):
+    _, figures = searched(spark, planted())
+    assert figures["audited"] == 80 and figures["queries"] == 1240 and figures["recall"] >= nndescent.RECALL
+    assert nndescent.orders_of(10**6, 0.9) > nndescent.orders_of(10**4, 0.9) > nndescent.ORDERS
+    monkeypatch.setattr(nndescent, "MARGIN", -0.2)  # no edge of the graph counts as near
+    monkeypatch.setattr(nndescent, "TRIES", 1)
+    with pytest.raises(RuntimeError, match="too few links"):
+        searched(spark, planted())
+
+
 def test_embeddings_odd(spark):
     v = [1.0, 2.0, -0.5, 0.25]
     rows = [(4, v), (2, v), (2, v), (9, [2.0, 4.0, -1.0, 0.5]), (1, None), (3, []), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [1.0, 2.0]), (10, [float("inf"), 0.0, 0.0, 0.0]), (None, v), (11, [-1.0, 0.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0, 0.0])]

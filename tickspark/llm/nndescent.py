@@ -1,15 +1,17 @@
 """Embedding near-duplicates by NN-descent.
 
-Equal vectors collapse to one class. A neighbour graph over the classes starts from short windows of several random
-orders and is refined by joins of neighbours with neighbours of neighbours, on 8-bit codes. Lists that hold nothing
-but near neighbours are saturated: they are enlarged and refined again until no group grows. A bounded set of query
-vectors, compared with all rows, audits the recall, and a low recall costs more rounds. Edges near the threshold make
+Equal vectors collapse to one class. A neighbour graph over the classes starts from short windows of random orders,
+more of them for a larger table, and is refined by joins of neighbours with neighbours of neighbours, on 8-bit codes.
+Lists that hold nothing but near neighbours are saturated: they are enlarged and refined again until no group grows.
+Query vectors, compared with all rows until enough true links are seen, audit the recall after each search; a low recall
+costs more searches, and one that stays low is an error. Edges near the threshold make
 groups; inside a group every pair of vectors is compared exactly, block by block, and each vector gets the number of
 its links and each block a spanning forest of them, so a large group costs comparisons but never rows.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -19,14 +21,18 @@ from pyspark.sql import functions as F
 from tickspark.llm.common import connected_components, written
 from tickspark.llm.simhash import Links
 
-#: Neighbours per list, orders and window of the first graph, rounds, and changed entries (share) below which rounds end.
+log = logging.getLogger(__name__)
+
+#: Neighbours per list, least orders and window of the first graph, least rounds, and changed entries (share) below which rounds end.
 NEIGHBOURS, ORDERS, WINDOW, ROUNDS, STILL = 10, 8, 64, 6, 0.01
 #: A neighbourhood longer than this is dealt into random parts, anew in each round.
 HUB = 512
 #: 8-bit codes change a cosine by less than this.
 MARGIN = 0.03
-#: Query vectors of the audit and the recall it asks for.
-AUDIT, RECALL = 256, 0.98
+#: The audit asks AUDIT query vectors, then four times as many and so on, until it has seen LINKS true links or asked
+#: MOST_AUDIT vectors (8 sqrt(n) of larger tables). Recall that it asks for, recall below which the search fails, and
+#: extra searches that a low recall may cost.
+AUDIT, LINKS, MOST_AUDIT, RECALL, LEAST_RECALL, TRIES = 256, 200, 2048, 0.98, 0.9, 6
 #: Rows of a group that are compared with as many others at once.
 BLOCK = 1024
 GRAPH = "id long, nbr long, sim float, old boolean, full boolean"
@@ -121,21 +127,31 @@ def _graph_batch(ids, nbrs, sims):
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nbrs, pa.int64()), pa.array(sims, pa.float32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, bool))], names=["id", "nbr", "sim", "old", "full"])
 
 
-def first_graph(codes: DataFrame, dim: int, count: int, k: int, seed: int) -> DataFrame:
-    """Candidates from windows of ORDERS random orders: by the signs of random projections, then by one more projection."""
-    bits = max(2, math.ceil(math.log2(max(4, count / WINDOW))))
+def cell_bits(count: int) -> int:
+    return max(2, math.ceil(math.log2(max(4, count / WINDOW))))
+
+
+def orders_of(count: int, threshold: float) -> int:
+    """Random orders so that RECALL of the pairs at the threshold meet in a cell: a bit parts a pair with its angle / pi."""
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** cell_bits(count)
+    return ORDERS if meet >= 1 else max(ORDERS, math.ceil(math.log(1 - RECALL) / math.log1p(-meet)))
+
+
+def first_graph(codes: DataFrame, dim: int, count: int, k: int, seed: int, orders: int = ORDERS) -> DataFrame:
+    """Candidates from windows of random orders: by the signs of random projections, then by one more projection."""
+    bits = cell_bits(count)
     width = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches):
         import numpy as np
         import pyarrow as pa
 
-        planes = np.random.default_rng(seed).standard_normal((ORDERS, bits + 1, dim)).astype(np.float32)
+        planes = np.random.default_rng(seed).standard_normal((orders, bits + 1, dim)).astype(np.float32)
         for batch in batches:
             x = matrix(batch.column(1), dim, np.int8).astype(np.float32)
-            for t in range(ORDERS):
+            for t in range(orders):
                 y = x @ planes[t].T
-                cell = ((y[:, :bits] > 0) @ (1 << np.arange(bits))) * ORDERS + t
+                cell = ((y[:, :bits] > 0) @ (1 << np.arange(bits))) * orders + t
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(y[:, bits]), batch.column(0), batch.column(1)], names=["cell", "at", "id", "code"])
 
     def join(batches):
@@ -216,9 +232,9 @@ def descend(graph: DataFrame, codes: DataFrame, dim: int, k: int, rounds: int, t
     return graph
 
 
-def audit(classes: DataFrame, dim: int, threshold: float, queries: int = AUDIT) -> DataFrame:
-    """(src, dst): all links of the `queries` classes of smallest hashes, found by comparing them with every class."""
-    asked = [(r.cid, bytes(r.unit)) for r in classes.orderBy(F.xxhash64("cid"), "cid").select("cid", "unit").limit(queries).collect()]
+def audit(classes: DataFrame, dim: int, threshold: float, skip: int = 0, queries: int = AUDIT) -> DataFrame:
+    """(src, dst): all links of `queries` classes in order of their hashes, after the first `skip`, by comparing them with every class."""
+    asked = [(r.cid, bytes(r.unit)) for r in classes.orderBy(F.xxhash64("cid"), "cid").select("cid", "unit").limit(skip + queries).collect()[skip:]]
 
     def run(batches):
         import numpy as np
@@ -228,41 +244,61 @@ def audit(classes: DataFrame, dim: int, threshold: float, queries: int = AUDIT)
         q = np.frombuffer(b"".join(u for _, u in asked)).reshape(-1, dim)
         for batch in batches:
             own, x = batch.column(0).to_numpy(), matrix(batch.column(1), dim, np.float64)
-            a, b = np.nonzero(q @ x.T >= threshold)
-            other = ids[a] != own[b]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a][other]), pa.array(own[b][other])], names=["src", "dst"])
+            for i in range(0, len(q), AUDIT):
+                a, b = np.nonzero(q[i : i + AUDIT] @ x.T >= threshold)
+                other = ids[i + a] != own[b]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + a][other]), pa.array(own[b][other])], names=["src", "dst"])
 
     return classes.select("cid", "unit").mapInArrow(run, "src long, dst long")
 
 
+def audited(classes: DataFrame, dim: int, count: int, threshold: float) -> tuple[DataFrame, int]:
+    """True links of more and more query vectors, and how many vectors were asked."""
+    most = min(count, max(MOST_AUDIT, 8 * math.isqrt(count)))
+    asked, true = 0, None
+    while True:
+        more = min(most, max(AUDIT, 4 * asked)) - asked
+        part = written(audit(classes, dim, threshold, asked, more), "audit")
+        asked, true = asked + more, part if true is None else true.union(part)
+        if asked >= most or true.count() >= LINKS:
+            return true, asked
+
+
 def groups(classes: DataFrame, dim: int, count: int, threshold: float, k: int = NEIGHBOURS) -> tuple[DataFrame, dict]:
     """((id, component) of the classes that have a near neighbour, figures of the search)."""
     codes = classes.select(F.col("cid").alias("id"), "code")
-    graph = written(best(first_graph(codes, dim, count, k, seed=1), k), "graph")
-    graph = descend(graph, codes, dim, k, ROUNDS, turn=1)
-    true = written(audit(classes, dim, threshold), "audit")
+    orders, rounds = orders_of(count, threshold), max(ROUNDS, cell_bits(count))
+    graph = written(best(first_graph(codes, dim, count, k, 1, orders), k), "graph")
+    graph = descend(graph, codes, dim, k, rounds, turn=1)
+    true, queries = audited(classes, dim, count, threshold)
     near = lambda g: g.filter(F.col("sim") >= threshold - MARGIN).select(F.col("id").alias("src"), F.col("nbr").alias("dst"))
     edges = written(near(graph), "near")
-    turn, figures, before = 100, {"k": k}, None
-    for attempt in range(5):
-        found = written(connected_components(edges.union(true)), "found")
+    turn, before, attempt, tries = 100, None, 0, 0
+    while True:
+        attempt += 1
         # recall is that of the graph alone: a true link counts if the search has joined its ends
-        own = connected_components(edges) if attempt == 0 else found
+        own = written(connected_components(edges), "found")
         both = true.join(own.toDF("src", "a"), "src", "left").join(own.toDF("dst", "b"), "dst", "left")
         asked, got = both.agg(F.count("*"), F.count_if(F.col("a") == F.col("b"))).first()
-        figures |= {"recall": got / asked if asked else 1.0, "audited": asked, "attempts": attempt + 1} if attempt == 0 else {"attempts": attempt + 1}
+        recall = got / asked if asked else None  # None: no link was seen, so nothing is known
         crowded = graph.groupBy("id").agg((F.first("full") & (F.min("sim") >= threshold - MARGIN)).alias("all")).filter("all").select("id")
-        state = tuple(found.agg(F.count("*"), F.countDistinct("component")).first())
-        low = figures["recall"] < RECALL and attempt < 2
-        if not low and (state == before or not crowded.limit(1).count()):
+        state = tuple(own.agg(F.count("*"), F.countDistinct("component")).first())
+        low = recall is not None and recall < RECALL and tries < TRIES
+        grows = attempt < 5 and state != before and crowded.limit(1).count() > 0
+        if not low and not grows:
             break
-        before, turn, k = state, turn + 100, 2 * k
+        before, turn, tries = state, turn + 100, tries + low
+        k = 2 * k if grows else k
         some = codes if low else codes.join(crowded, "id", "left_semi")
-        start = first_graph(some, dim, count, k, seed=turn).unionByName(graph)
+        start = first_graph(some, dim, count, k, turn, orders).unionByName(graph)
         graph = written(best(start, k), "graph")
         graph = descend(graph, codes, dim, k, 2 if low else 1, turn)
         edges = written(edges.union(near(graph)), "near")
-    return found, figures | {"k": k}
+    figures = {"recall": recall, "audited": asked, "queries": queries, "attempts": attempt, "k": k}
+    if recall is not None and recall < LEAST_RECALL:
+        raise RuntimeError(f"the search finds too few links: {figures}")
+    (log.warning if recall is None or recall < RECALL else log.info)("nearest-neighbour search over %d vectors: %s", count, figures)
+    return written(connected_components(edges.union(true)), "found"), figures
 
 
 def compare(members: DataFrame, dim: int, threshold: float) -> DataFrame:
