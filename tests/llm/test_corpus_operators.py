@@ -127,6 +127,31 @@ def test_audit_sees_isolated_links(spark, monkeypatch):
         searched(spark, planted())
 
 
+@pytest.mark.parametrize("last", [7, 55])
+def test_lists_grow_until_groups_settle(spark, monkeypatch, last):
+    """Parts of a dense group that join one at a time, one after each search, up to the search `last`."""
+    rng = np.random.default_rng(7)
+    rows = [(i, (np.eye(8)[0] + rng.normal(0, 0.01, 8)).tolist()) for i in range(60)]
+    calls = []
+
+    def parted(edges):
+        calls.append(1)
+        parts = max(1, 1 + last - len(calls))
+        return spark.createDataFrame([(i, i % parts) for i in range(60)], "id long, component long")
+
+    monkeypatch.setattr(nndescent, "connected_components", parted)
+    monkeypatch.setattr(nndescent, "descend", lambda graph, *_, **__: graph)
+    monkeypatch.setattr(nndescent, "best", lambda graph, k: graph.limit(0).union(spark.createDataFrame([(i, (i + 1) % 60, 1.0, False, True) for i in range(60)], nndescent.GRAPH)))
+    monkeypatch.setattr(nndescent, "TRIES", 0)
+    monkeypatch.setattr(nndescent, "MOST_ATTEMPTS", 9)
+    if last > nndescent.MOST_ATTEMPTS:
+        with pytest.raises(RuntimeError, match="still grow"):
+            searched(spark, rows)
+        return
+    found, figures = searched(spark, rows)
+    assert figures["attempts"] == last + 1 and {r.component for r in found.collect()} == {0}
+
+
 def test_embeddings_odd(spark):
     v = [1.0, 2.0, -0.5, 0.25]
     rows = [(4, v), (2, v), (2, v), (9, [2.0, 4.0, -1.0, 0.5]), (1, None), (3, []), (5, [0.0] * 4), (6, [float("nan"), 1.0, 1.0, 1.0]), (7, [None, 1.0, 1.0, 1.0]), (8, [1.0, 2.0]), (10, [float("inf"), 0.0, 0.0, 0.0]), (None, v), (11, [-1.0, 0.0, 0.0, 0.0]), (11, [0.0, 1.0, 0.0, 0.0])]

@@ -25,6 +25,8 @@ log = logging.getLogger(__name__)
 
 #: Neighbours per list, least orders and window of the first graph, least rounds, and changed entries (share) below which rounds end.
 NEIGHBOURS, ORDERS, WINDOW, ROUNDS, STILL = 10, 8, 64, 6, 0.01
+#: Searches after which groups have to be settled; lists double with each, so only an error needs as many.
+MOST_ATTEMPTS = 30
 #: A neighbourhood longer than this is dealt into random parts, anew in each round.
 HUB = 512
 #: 8-bit codes change a cosine by less than this.
@@ -284,9 +286,11 @@ def groups(classes: DataFrame, dim: int, count: int, threshold: float, k: int =
         crowded = graph.groupBy("id").agg((F.first("full") & (F.min("sim") >= threshold - MARGIN)).alias("all")).filter("all").select("id")
         state = tuple(own.agg(F.count("*"), F.countDistinct("component")).first())
         low = recall is not None and recall < RECALL and tries < TRIES
-        grows = attempt < 5 and state != before and crowded.limit(1).count() > 0
+        grows = state != before and crowded.limit(1).count() > 0
         if not low and not grows:
             break
+        if attempt == MOST_ATTEMPTS:
+            raise RuntimeError(f"groups still grow after {attempt} searches")
         before, turn, tries = state, turn + 100, tries + low
         k = 2 * k if grows else k
         some = codes if low else codes.join(crowded, "id", "left_semi")
