@@ -48,7 +48,8 @@ def test_drift():
 def test_ewma_and_slope(seed):
     us, ts, x = series(seed)
     np.testing.assert_allclose(K.ewma(us, x, 25), seq.ewma(ts, x, 25), rtol=1e-12)
-    out = K.ewma_slope(us, x, 18, 12)
+    y = K.ewma(us, x, 18)
+    out = {"ewma": y, "slope": K.slope_of(us, y, 12)}
     np.testing.assert_allclose(out["slope"], seq.slope(ts, x, 18, 12), rtol=1e-6, atol=1e-9)
 
 
@@ -76,7 +77,7 @@ def test_vol_and_rank():
 def test_smoother_drops_its_first_value():
     us, _, x = series(5)
     r = np.log(x[1:] / x[:-1])
-    np.testing.assert_allclose(K.smoother(us[1:], r, 45, 2), K.log_variance(us, x, 45)[1:], rtol=1e-12)
+    np.testing.assert_allclose(K.smoother(us[1:], r * r, 45), K.log_variance(us, x, 45)[1:], rtol=1e-12)
     assert K.smoother(us[:1], x[:1], 45).tolist() == [0.0]
 
 
@@ -91,6 +92,8 @@ def test_spread_and_rate():
     width = np.random.default_rng(3).uniform(0.1, 3, len(x)) * 1e-4
     out = K.spread(us, x, x + width, 1e-4, 25)
     np.testing.assert_allclose(out["spread_percentile"], seq.spread_rank(ts, out["spread_pips"], 25))
+    ties = np.round(width, 5)
+    np.testing.assert_allclose(K.spread(us, 0 * x, ties, 1e-4, 25)["spread_percentile"], seq.spread_rank(ts, ties / 1e-4, 25))
     np.testing.assert_array_equal(K.tick_rate(us, 12)["tick_count"], seq.count(ts, 12))
 
 
@@ -100,18 +103,23 @@ def test_edges_of_windows():
     assert K.spread(us, np.ones(2), np.array([1.2, 1.1]), 0.1, 10)["spread_percentile"].tolist() == [1.0, 0.5]  # [t - w, t]
 
 
+def after(machine, ts, price):
+    """The machine's fields after one more tick."""
+    return {k: v[0] for k, v in machine.run(np.array([ts]), np.array([price])).items()}
+
+
 def test_reversion_known_values():
     m = K.Reversion(1800, 10, 10, 12, 1e-4)
     for t, p in ((0, 1.2000), (5, 1.2003), (30, 1.2012)):
-        v = dict(zip(K.Reversion.FIELDS, m.step(t * 1_000_000, p), strict=True))
+        v = after(m, t * 1_000_000, p)
     assert v["position"] == -1 and v["reference_price"] == 1.2
     assert v["tp_price"] == pytest.approx(1.2002) and v["sl_price"] == pytest.approx(1.2024)
-    assert m.step(35_000_000, 1.20005)[0] == 1  # flat and reopened the other way on one tick
+    assert after(m, 35_000_000, 1.20005)["position"] == 1  # flat and reopened the other way on one tick
 
 
 def test_reversion_waits_for_recency():
     m = K.Reversion(1800, 10, 10, 10, 1e-4, 30)
-    assert [m.step(t * 1_000_000, p)[0] for t, p in ((0, 1.2), (20, 1.2012), (40, 1.2013))] == [0, 0, -1]
+    assert [after(m, t * 1_000_000, p)["position"] for t, p in ((0, 1.2), (20, 1.2012), (40, 1.2013))] == [0, 0, -1]
 
 
 @pytest.mark.parametrize("recency", [0.0, 5.0])
@@ -120,7 +128,14 @@ def test_reversion_random(seed, recency):
     us, ts, x = series(seed, 400, 4e-4)
     x = np.round(x, 4)
     m, o = K.Reversion(60, 10, 10, 10, 1e-4, recency), seq.Reversion(60, 10, 10, 10, 1e-4, recency)
-    assert [m.step(t, p)[0] for t, p in zip(us.tolist(), x.tolist(), strict=True)] == [o.step(t, p) for t, p in zip(ts.tolist(), x.tolist(), strict=True)]
+    wanted = [o.step(t, p) for t, p in zip(ts.tolist(), x.tolist(), strict=True)]
+    assert m.run(us, x)["position"].tolist() == wanted
+    pieces, taken, before = K.Reversion(60, 10, 10, 10, 1e-4, recency), [], 0
+    pieces.SLACK = 3
+    for part in np.array_split(np.arange(len(x)), 9):
+        at, fields = pieces.edges(us[part], x[part])
+        taken += zip(part[at].tolist(), fields["position"].tolist(), strict=True)
+    assert taken == [(i, p) for i, (q, p) in enumerate(zip([0, *wanted], wanted)) if p and p != q]
 
 
 @pytest.mark.parametrize("pieces", [1, 7])

@@ -71,6 +71,32 @@ def test_blocks_do_not_change_values(spark):
             np.testing.assert_allclose(whole[c], parts[c], rtol=1e-9, atol=1e-9, err_msg=c)
 
 
+def test_long_gaps_across_blocks(spark):
+    """Samples after long gaps reach far: they shield later ticks across several blocks."""
+    rng = np.random.default_rng(12)
+    at = np.cumsum(np.where(rng.random(500) < 0.03, rng.uniform(300, 1500, 500), rng.uniform(0.5, 8, 500)))
+    mid = 100 * np.exp(np.cumsum(rng.normal(0, 1e-4, 500)))
+    t = frame(spark, [(float(s), float(m), float(m + w)) for s, m, w in zip(at, mid, rng.uniform(0.01, 0.1, 500), strict=True)])
+    ms = [make_metric(*m) for m in METRICS]
+    whole, parts = (add_metrics(validate.accepted(validate.audit(t)), ms, b).toPandas().sort_values("seq").reset_index(drop=True) for b in (10**7, 60))
+    assert len(whole) == len(parts) == 500
+    for c in whole.columns:
+        if whole[c].dtype == float:
+            np.testing.assert_allclose(whole[c], parts[c], rtol=1e-8, atol=1e-8, err_msg=c)
+
+
+def test_endless_and_bounded_metrics_together(spark):
+    t = walk(spark)
+    machine = ("m", "threshold_reversion", {"lookback_seconds": 300, "threshold_pips": 2, "pip_size": 0.01, "tp_pips": 2, "sl_pips": 2})
+    rate = ("t", "tick_rate", {"window_seconds": 60})
+    both = add_metrics(t, [make_metric(*machine), make_metric(*rate)], 600)
+    assert [c for c in both.columns if "." in c] == [*make_metric(*machine).columns(), *make_metric(*rate).columns()]
+    alone = add_metrics(t, [make_metric(*machine)])
+    key = lambda df, c: sorted((r.instrument, r.seq, r[c]) for r in df.collect())
+    assert key(both, "m.position") == key(alone, "m.position") and any(x[2] for x in key(alone, "m.position"))
+    assert key(both, "t.tick_count") == key(add_metrics(t, [make_metric(*rate)]), "t.tick_count")
+
+
 def test_disabled_and_repeated_metrics(spark):
     t = frame(spark, [(0, 1.0, 1.1)])
     assert add_metrics(t, [make_metric("a", "tick_rate", {"window_seconds": 5}, enabled=False)]).columns == t.columns

@@ -6,7 +6,7 @@ Times are whole microseconds. `first` says that the first element is the instrum
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 
@@ -14,14 +14,14 @@ import numpy as np
 FIRST_WEIGHT, LEAST_GAP, LEAST_STD = 1e-9, 1e-6, 1e-12
 
 
-def gaps(ts_us: np.ndarray) -> np.ndarray:
-    """Seconds since the previous tick, LEAST_GAP at least; the first is LEAST_GAP."""
-    out = np.full(len(ts_us), LEAST_GAP)
+def gaps(ts_us: np.ndarray, lead_us: int = 0) -> np.ndarray:
+    """Seconds since the previous tick, LEAST_GAP at least; lead_us: the time since the tick before the first one."""
+    out = np.full(len(ts_us), max(lead_us / 1e6, LEAST_GAP))
     np.maximum(np.diff(ts_us) / 1e6, LEAST_GAP, out=out[1:])
     return out
 
 
-def rolling_moments(ts_us: np.ndarray, x: np.ndarray, lookback_s: float, first: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def rolling_moments(ts_us: np.ndarray, x: np.ndarray, lookback_s: float, first: bool = True, lead_us: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Time-weighted mean and standard deviation over the lookback.
 
     Sample i weighs its gap and reaches forward from its time; the window drops samples from its head only, so a long
@@ -31,8 +31,8 @@ def rolling_moments(ts_us: np.ndarray, x: np.ndarray, lookback_s: float, first:
     n = len(ts_us)
     if not n:
         return np.zeros(0), np.zeros(0)
-    weight = gaps(ts_us)
-    reach = np.maximum(np.diff(ts_us, prepend=ts_us[0]), 1)
+    weight = gaps(ts_us, lead_us)
+    reach = np.maximum(np.diff(ts_us, prepend=ts_us[0] - lead_us), 1)
     if first:
         weight[0], reach[0] = FIRST_WEIGHT, 0
     end = ts_us + reach
@@ -57,15 +57,15 @@ def rolling_moments(ts_us: np.ndarray, x: np.ndarray, lookback_s: float, first:
     return mean, std
 
 
-def zscore(ts_us, mid, lookback_s, first=True) -> dict[str, np.ndarray]:
-    mean, std = rolling_moments(ts_us, mid, lookback_s, first)
+def zscore(ts_us, mid, lookback_s, first=True, lead_us=0) -> dict[str, np.ndarray]:
+    mean, std = rolling_moments(ts_us, mid, lookback_s, first, lead_us)
     residual = np.where(np.isfinite(mean), mid - mean, np.nan)
     good = np.isfinite(std) & (std > LEAST_STD) & np.isfinite(mean)
     return {"z_score": np.where(good, residual / np.where(good, std, 1.0), 0.0), "rolling_residual": residual}
 
 
-def drift(ts_us, mid, lookback_s, first=True) -> dict[str, np.ndarray]:
-    mean, _ = rolling_moments(ts_us, mid, lookback_s, first)
+def drift(ts_us, mid, lookback_s, first=True, lead_us=0) -> dict[str, np.ndarray]:
+    mean, _ = rolling_moments(ts_us, mid, lookback_s, first, lead_us)
     value = (mid - mean) / lookback_s
     return {"drift": value, "drift_sign": np.where(np.isfinite(value), np.sign(value), 0.0)}
 
@@ -90,36 +90,29 @@ def ewma(ts_us, x, tau_s, initial: float | None = None) -> np.ndarray:
     return np.array(out)
 
 
-def ewma_slope(ts_us, x, tau_s, window_s, initial=None) -> dict[str, np.ndarray]:
-    y = ewma(ts_us, x, tau_s, initial)
+def slope_of(ts_us, y: np.ndarray, window_s: float) -> np.ndarray:
+    """Slope per second of y against its oldest value in [t - window, t]; NaN where that is the value itself."""
     oldest = np.searchsorted(ts_us, ts_us - int(round(window_s * 1e6)), side="left")
     span = np.maximum((ts_us - ts_us[oldest]) / 1e6, LEAST_GAP)
-    return {"ewma": y, "slope": np.where(oldest == np.arange(len(y)), np.nan, (y - y[oldest]) / span)}
+    return np.where(oldest == np.arange(len(y)), np.nan, (y - y[oldest]) / span)
 
 
-def smoother(ts_us, x, tau_s, power: int = 1) -> np.ndarray:
-    """Exponential average of x ** power whose first value is 0: the first x only starts the clock."""
-    out, y = np.zeros(len(x)), 0.0
-    keep = np.exp(-np.maximum(np.diff(ts_us) / 1e6, FIRST_WEIGHT) / tau_s).tolist()
-    for i, (a, v) in enumerate(zip(keep, x[1:].tolist(), strict=True), 1):
-        y = a * y + (1 - a) * v**power
-        out[i] = y
-    return out
+def smoother(ts_us, x, tau_s, start: int = 1) -> np.ndarray:
+    """Exponential average of x that is 0 before `start`: the value there is the first to count, against 0."""
+    keep = np.exp(-np.maximum(np.diff(ts_us, prepend=ts_us[:1]) / 1e6, FIRST_WEIGHT) / tau_s).tolist()
+    out, y = [0.0] * min(start, len(x)), 0.0
+    for a, v in zip(keep[start:], x[start:].tolist(), strict=True):
+        y = a * y + (1 - a) * v
+        out.append(y)
+    return np.array(out)
 
 
 def log_variance(ts_us, mid, tau_s, first=True) -> np.ndarray:
     """Smoothed squared log return: 0 at the first two ticks (the first return only starts the smoother)."""
-    n = len(mid)
-    out = np.zeros(n)
+    r = np.zeros(len(mid))
     with np.errstate(divide="ignore", invalid="ignore"):
-        r = np.where((mid[1:] > 0) & (mid[:-1] > 0), np.log(mid[1:] / mid[:-1]), 0.0)
-    keep = np.exp(-np.maximum(np.diff(ts_us) / 1e6, FIRST_WEIGHT) / tau_s).tolist()
-    y, start = 0.0, 2 if first else 1
-    for i in range(start, n):
-        a = keep[i - 1]
-        y = a * y + (1 - a) * (r[i - 1] * r[i - 1])
-        out[i] = y
-    return out
+        r[1:] = np.where((mid[1:] > 0) & (mid[:-1] > 0), np.log(mid[1:] / mid[:-1]), 0.0)
+    return smoother(ts_us, r * r, tau_s, 2 if first else 1)
 
 
 def bin_of(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -127,14 +120,14 @@ def bin_of(edges: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(np.searchsorted(edges, x, side="right") - 1, 0, len(edges) - 2)
 
 
-def percentile_ranks(ts_us, y, edges: np.ndarray, horizon_s: float, first=True) -> np.ndarray:
+def percentile_ranks(ts_us, y, edges: np.ndarray, horizon_s: float, first=True, lead_us=0) -> np.ndarray:
     """Rank of each y among the time-weighted history of y within the horizon, linear inside its bin.
 
     The value of tick i weighs the gap before it. The very first tick has no gap and no rank.
     """
     n = len(y)
     out = np.full(n, np.nan)
-    gap = gaps(ts_us).tolist()
+    gap = gaps(ts_us, lead_us).tolist()
     bins = bin_of(edges, y)
     frac = np.clip((y - edges[bins]) / (edges[bins + 1] - edges[bins]), 0.0, 1.0).tolist()
     bins, weights = bins.tolist(), [0.0] * (len(edges) - 1)
@@ -176,19 +169,31 @@ def percentile_ranks(ts_us, y, edges: np.ndarray, horizon_s: float, first=True)
     return out
 
 
-def ewma_vol(ts_us, mid, tau_s, horizon_s, bins, base_vol, stddev_cap, first=True) -> dict[str, np.ndarray]:
+def ewma_vol(ts_us, mid, tau_s, horizon_s, bins, base_vol, stddev_cap, first=True, lead_us=0) -> dict[str, np.ndarray]:
     y = log_variance(ts_us, mid, tau_s, first)
     edges = np.linspace(0.0, (stddev_cap * base_vol) ** 2, bins + 1)
-    return {"vol_ewma": y, "vol_percentile": percentile_ranks(ts_us, y, edges, horizon_s, first)}
+    return {"vol_ewma": y, "vol_percentile": percentile_ranks(ts_us, y, edges, horizon_s, first, lead_us)}
 
 
 def spread(ts_us, bid, ask, pip_size, window_s) -> dict[str, np.ndarray]:
     """Spread, in pips, and the share of ticks in [t - window, t], up to this one, that are not wider."""
     raw = np.maximum(ask - bid, 0.0)
     pips = raw / pip_size
-    low = np.searchsorted(ts_us, ts_us - int(round(window_s * 1e6)), side="left").tolist()
-    share = [np.count_nonzero(pips[a : i + 1] <= pips[i]) / (i + 1 - a) for i, a in enumerate(low)]
-    return {"spread": raw, "spread_pips": pips, "spread_percentile": np.array(share, float)}
+    low = np.searchsorted(ts_us, ts_us - int(round(window_s * 1e6)), side="left")
+    return {"spread": raw, "spread_pips": pips, "spread_percentile": rank_within(pips, low) / (np.arange(len(pips)) + 1 - low)}
+
+
+def rank_within(x: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How many of x[low[i] : i + 1] are not above x[i], for ascending low: the window is kept sorted."""
+    values, window, out, begin = x.tolist(), [], [], 0
+    for v, a in zip(values, low.tolist(), strict=True):
+        while begin < a:
+            del window[bisect_left(window, values[begin])]
+            begin += 1
+        at = bisect_right(window, v)
+        window.insert(at, v)
+        out.append(at + 1)
+    return np.array(out, np.int64)
 
 
 def tick_rate(ts_us, window_s) -> dict[str, np.ndarray]:
@@ -198,94 +203,119 @@ def tick_rate(ts_us, window_s) -> dict[str, np.ndarray]:
     return {"tick_count": count, "tick_rate_per_sec": count / window_s, "tick_rate_per_min": count / window_s * 60.0}
 
 
-class Extremes:
-    """Ticks that are strict extremes of all later ticks within the lookback, oldest first."""
-
-    def __init__(self, highest: bool) -> None:
-        self.sign, self.times, self.prices, self.head = (1.0 if highest else -1.0), [], [], 0
-
-    def push(self, ts: int, price: float, cutoff: int) -> None:
-        times, prices, sign = self.times, self.prices, self.sign
-        while len(prices) > self.head and sign * (prices[-1] - price) <= 0:
-            prices.pop()
-            times.pop()
-        prices.append(price)
-        times.append(ts)
-        self.head = max(self.head, bisect_left(times, cutoff, self.head))
-        if self.head > 4096 and 2 * self.head > len(times):
-            del times[: self.head], prices[: self.head]
-            self.head = 0
-
-    def nearest(self, ts: int, price: float, threshold: float, least_age_us: float) -> int:
-        """Place of the newest earlier extreme that is `threshold` away and old enough; -1 if none.
-
-        Both distance and age grow towards the head, so the newest is found by halving.
-        """
-        low, high = self.head, len(self.prices) - 1  # the last one is this tick
-        if low >= high or self.sign * (self.prices[low] - price) < threshold:
-            return -1
-        while low < high:
-            k = (low + high) // 2
-            if self.sign * (self.prices[k] - price) >= threshold and ts - self.times[k] >= least_age_us:
-                low = k + 1
-            else:
-                high = k
-        return low - 1 if low > self.head else -1
+def nearest(times: list, prices: list, head: int, sign: float, ts: int, price: float, threshold: float, least_age_us: float) -> int:
+    """Place of the newest extreme before the last one that is `threshold` away and old enough; -1 if none.
+
+    From `head` on, each price is a strict extreme of all later ones, so both distance and age grow towards the head and
+    the newest is found by halving.
+    """
+    low, high = head, len(prices) - 1  # the last one is this tick
+    if low >= high or sign * (prices[low] - price) < threshold:
+        return -1
+    while low < high:
+        k = (low + high) // 2
+        if sign * (prices[k] - price) >= threshold and ts - times[k] >= least_age_us:
+            low = k + 1
+        else:
+            high = k
+    return low - 1 if low > head else -1
 
 
 class Reversion:
-    """Threshold-reversion position of one instrument, tick by tick; holds its state between calls."""
+    """Threshold-reversion position of one instrument, tick by tick; holds its state between calls.
+
+    highs and lows (times, prices, head) are the ticks within the lookback that are strict extremes of all later ticks,
+    oldest first, from head on.
+    """
 
     FIELDS = (
         "position", "reference_price", "distance_from_reference", "reference_age_seconds", "threshold", "tp_price", "sl_price",
         "trade_timeout_seconds", "position_open_age_seconds", "min_recency_seconds",
     )
+    #: Places before the head after which they are given up.
+    SLACK = 4096
 
     def __init__(self, lookback_seconds, threshold_pips, tp_pips, sl_pips, pip_size, min_recency_seconds=0.0, trade_timeout_seconds=None) -> None:
         self.lookback_us, self.pip = int(lookback_seconds * 1_000_000), pip_size
         self.threshold, self.tp, self.sl = threshold_pips * pip_size, tp_pips * pip_size, sl_pips * pip_size
         self.recency, self.timeout = float(min_recency_seconds), math.nan if trade_timeout_seconds is None else float(trade_timeout_seconds)
-        self.highs, self.lows = Extremes(True), Extremes(False)
-        self.flat()
-
-    def flat(self) -> None:
-        self.position, self.ref, self.ref_us, self.open_us, self.tp_price, self.sl_price = 0, None, 0, 0, math.nan, math.nan
-
-    def candidate(self, ts: int, mid: float) -> tuple[int, float] | None:
-        """(time, price) of the reference: the later of the nearest low and the nearest high, a tie going to the low."""
-        age = self.recency * 1e6
-        low, high = self.lows.nearest(ts, mid, self.threshold, age), self.highs.nearest(ts, mid, self.threshold, age)
-        if low >= 0 and (high < 0 or self.lows.times[low] >= self.highs.times[high]):
-            return self.lows.times[low], self.lows.prices[low]
-        return (self.highs.times[high], self.highs.prices[high]) if high >= 0 else None
-
-    def step(self, ts: int, mid: float) -> tuple:
-        """Values of FIELDS after this tick."""
-        cutoff = ts - self.lookback_us
-        self.highs.push(ts, mid, cutoff)
-        self.lows.push(ts, mid, cutoff)
-        found = self.candidate(ts, mid)
-        if self.position and abs(mid - self.ref) <= self.pip:
-            self.flat()
-        if found is None:
-            self.flat()
-        else:
-            if self.ref is not None and abs(found[1] - self.ref) > self.pip / 10.0:
-                self.flat()
-            away = mid - found[1]
-            if not self.position and abs(away) >= self.threshold:
-                self.position = -1 if away > 0 else 1
-                self.ref_us, self.ref, self.open_us = *found, ts
-                self.tp_price, self.sl_price = mid + self.position * self.tp, mid - self.position * self.sl
-        has = self.ref is not None
-        return (
-            float(self.position), self.ref if has else math.nan, mid - self.ref if has else math.nan, (ts - self.ref_us) / 1e6 if has else math.nan, self.threshold,
-            self.tp_price, self.sl_price, self.timeout, (ts - self.open_us) / 1e6 if self.position else math.nan, self.recency,
+        self.highs, self.lows = ([], [], 0), ([], [], 0)
+        #: position, reference price, its time, time of opening, price at opening
+        self.state: tuple = (0, None, 0, 0, 0.0)
+
+    def walk(self, ts_us: np.ndarray, mid: np.ndarray, every: bool) -> tuple[list[int], list[tuple]]:
+        """(places, states after them) of the ticks at which a position is taken, or of every tick."""
+        (high_t, high_p, high_at), (low_t, low_p, low_at) = self.highs, self.lows
+        position, ref, ref_us, open_us, open_mid = self.state
+        threshold, lookback, pip, near_us = self.threshold, self.lookback_us, self.pip, self.recency * 1e6
+        places, states = [], []
+        for place, (ts, price) in enumerate(zip(ts_us.tolist(), mid.tolist(), strict=True)):
+            before, cutoff = position, ts - lookback
+            while len(high_p) > high_at and high_p[-1] <= price:
+                high_p.pop()
+                high_t.pop()
+            high_p.append(price)
+            high_t.append(ts)
+            while high_t[high_at] < cutoff:
+                high_at += 1
+            while len(low_p) > low_at and low_p[-1] >= price:
+                low_p.pop()
+                low_t.pop()
+            low_p.append(price)
+            low_t.append(ts)
+            while low_t[low_at] < cutoff:
+                low_at += 1
+            # the reference: the later of the nearest low and the nearest high, a tie going to the low
+            low = nearest(low_t, low_p, low_at, -1.0, ts, price, threshold, near_us) if price - low_p[low_at] >= threshold else -1
+            high = nearest(high_t, high_p, high_at, 1.0, ts, price, threshold, near_us) if high_p[high_at] - price >= threshold else -1
+            if position and abs(price - ref) <= pip:
+                position, ref = 0, None
+            if low < 0 and high < 0:
+                position, ref = 0, None
+            else:
+                of_low = low >= 0 and (high < 0 or low_t[low] >= high_t[high])
+                new_us, new = (low_t[low], low_p[low]) if of_low else (high_t[high], high_p[high])
+                if ref is not None and abs(new - ref) > pip / 10.0:
+                    position, ref = 0, None
+                away = price - new
+                if not position and abs(away) >= threshold:
+                    position = -1 if away > 0 else 1
+                    ref_us, ref, open_us, open_mid = new_us, new, ts, price
+            if every or (position and position != before):
+                places.append(place)
+                states.append((position, ref, ref_us, open_us, open_mid))
+            if high_at > self.SLACK:
+                del high_t[:high_at], high_p[:high_at]
+                high_at = 0
+            if low_at > self.SLACK:
+                del low_t[:low_at], low_p[:low_at]
+                low_at = 0
+        self.highs, self.lows = (high_t, high_p, high_at), (low_t, low_p, low_at)
+        self.state = (position, ref, ref_us, open_us, open_mid)
+        return places, states
+
+    def fields(self, ts_us: np.ndarray, mid: np.ndarray, states: list[tuple]) -> dict[str, np.ndarray]:
+        """FIELDS of states after the ticks at ts_us, mid."""
+        rows = np.array([(p, math.nan if r is None else r, u, o, m) for p, r, u, o, m in states], float).reshape(-1, 5)
+        position, ref, ref_us, open_us, open_mid = rows.T
+        held = position != 0
+        full = lambda v: np.full(len(rows), v)
+        only = lambda ok, v: np.where(ok, v, np.nan)
+        values = (
+            position, ref, mid - ref, only(~np.isnan(ref), (ts_us - ref_us) / 1e6), full(self.threshold), only(held, open_mid + position * self.tp), only(held, open_mid - position * self.sl),
+            full(self.timeout), only(held, (ts_us - open_us) / 1e6), full(self.recency),
         )
+        return dict(zip(self.FIELDS, values, strict=True))
 
     def run(self, ts_us: np.ndarray, mid: np.ndarray) -> dict[str, np.ndarray]:
-        rows = [self.step(t, m) for t, m in zip(ts_us.tolist(), mid.tolist(), strict=True)]
-        return dict(zip(self.FIELDS, np.array(rows, float).reshape(-1, len(self.FIELDS)).T, strict=True))
+        """FIELDS after every tick."""
+        return self.fields(ts_us, mid, self.walk(ts_us, mid, every=True)[1])
+
+    def edges(self, ts_us: np.ndarray, mid: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(places, FIELDS there) of the ticks at which a position is taken: it differs from the tick before and is not 0."""
+        places, states = self.walk(ts_us, mid, every=False)
+        at = np.array(places, np.int64)
+        return at, self.fields(ts_us[at], mid[at], states)
 
 
 class Ledger:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickspark.errors import ConfigError
 from tickspark.operators import kernels
-from tickspark.operators.arrow import numpy_of, runs, whole
+from tickspark.operators.arrow import map_arrow, numpy_of, runs, whole
 
 #: Time constants after which a start value is below the resolution of a double.
 TAUS = 40
@@ -88,7 +88,7 @@ class ZScore(Metric):
         return self.lookback_seconds
 
     def arrays(self, ticks, first):
-        return kernels.zscore(ticks["ts_us"], ticks["mid"], self.lookback_seconds, first)
+        return kernels.zscore(ticks["ts_us"], ticks["mid"], self.lookback_seconds, first, ticks.get("lead_us", 0))
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -99,7 +99,7 @@ class DriftSign(ZScore):
     outputs: ClassVar[tuple[str, ...]] = ("drift", "drift_sign")
 
     def arrays(self, ticks, first):
-        return kernels.drift(ticks["ts_us"], ticks["mid"], self.lookback_seconds, first)
+        return kernels.drift(ticks["ts_us"], ticks["mid"], self.lookback_seconds, first, ticks.get("lead_us", 0))
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -155,10 +155,8 @@ class EwmaSlope(Ewma):
         return super().memory_s() + self.window_seconds
 
     def arrays(self, ticks, first):
-        y, ts = self.average(ticks, first), ticks["ts_us"]
-        oldest = np.searchsorted(ts, ts - int(round(self.window_seconds * 1e6)), side="left")
-        span = np.maximum((ts - ts[oldest]) / 1e6, kernels.LEAST_GAP)
-        return {"ewma": y, "slope": np.where(oldest == np.arange(len(y)), np.nan, (y - y[oldest]) / span)}
+        y = self.average(ticks, first)
+        return {"ewma": y, "slope": kernels.slope_of(ticks["ts_us"], y, self.window_seconds)}
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -182,7 +180,7 @@ class EwmaVol(Metric):
         return TAUS * self.tau_seconds + self.percentile_horizon_seconds
 
     def arrays(self, ticks, first):
-        return kernels.ewma_vol(ticks["ts_us"], ticks["mid"], self.tau_seconds, self.percentile_horizon_seconds, self.bins, self.base_vol, self.stddev_cap, first)
+        return kernels.ewma_vol(ticks["ts_us"], ticks["mid"], self.tau_seconds, self.percentile_horizon_seconds, self.bins, self.base_vol, self.stddev_cap, first, ticks.get("lead_us", 0))
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -263,9 +261,12 @@ class ThresholdReversion(Metric):
     def memory_s(self) -> float:
         return math.inf
 
+    def machine(self) -> kernels.Reversion:
+        """State of an instrument before its first tick; run() goes on from call to call."""
+        return kernels.Reversion(self.lookback_seconds, self.threshold_pips, self.tp_pips, self.sl_pips, self.pip_size, self.min_recency_seconds, self.trade_timeout_seconds)
+
     def arrays(self, ticks, first):
-        machine = kernels.Reversion(self.lookback_seconds, self.threshold_pips, self.tp_pips, self.sl_pips, self.pip_size, self.min_recency_seconds, self.trade_timeout_seconds)
-        return machine.run(ticks["ts_us"], ticks["mid"])
+        return self.machine().run(ticks["ts_us"], ticks["mid"])
 
 
 REGISTRY: dict[str, type[Metric]] = {c.kind: c for c in (ZScore, DriftSign, Ewma, EwmaSlope, EwmaVol, Session, Spread, TickRate, ThresholdReversion)}
@@ -290,49 +291,89 @@ def make_metric(name: str, kind: str, params: Mapping | None = None, enabled: bo
         raise ConfigError(f"metric '{name}': {missing}") from missing
 
 
-def with_history(ticks: DataFrame, block_s: float | None, memory_s: float) -> DataFrame:
-    """ticks with block, home (false for history) and first (the block holds the instrument's first tick).
+def with_history(ticks: DataFrame, block_s: float, memory_s: float) -> DataFrame:
+    """ticks (with before_us) with block, home (false for history) and lead_us, the time since the tick before (null for the very first).
 
-    Without block_s each instrument is one block. With it, a tick also goes, as history, to every later block whose
-    first tick it may influence: its memory plus twice the longest gap of the instrument, because a sample reaches as
-    far forward as the gap before it.
+    A tick also goes, as history, to every later block that may need it. A window holds a sample until its end, which
+    lies as far after its time as the tick before lies before it, and all samples after one that it holds. So a tick is
+    needed for memory_s after its own time plus the longest gap of its block, or after the latest end of earlier blocks.
     """
-    if block_s is None or not math.isfinite(memory_s):
-        return ticks.select("*", F.lit(0).cast("long").alias("block"), F.lit(True).alias("home"), F.lit(True).alias("first"))
-    size = int(block_s * 1e6)
-    gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy("instrument").orderBy("seq"))
-    facts = ticks.select("instrument", "seq", "ts_us", gap.alias("gap")).groupBy("instrument").agg(F.coalesce(F.max("gap"), F.lit(0)).alias("gap"), F.min("ts_us").alias("begin"))
-    own, reach = F.floor(F.col("ts_us") / size), F.floor((F.col("ts_us") + int(memory_s * 1e6) + 2 * F.col("gap") + 1_000_000) / size)
-    dealt = ticks.join(facts, "instrument").withColumn("block", F.explode(F.sequence(own, reach)))
-    history = F.col("block") * size - int(memory_s * 1e6) - 2 * F.col("gap") - 1_000_000
-    dealt = dealt.withColumns({"home": F.col("block") == F.floor(F.col("ts_us") / size), "first": F.col("begin") >= history})
-    return dealt.drop("gap", "begin")
+    size, memory = int(block_s * 1e6), int(memory_s * 1e6)
+    own = ticks.withColumns({"lead_us": F.col("ts_us") - F.col("before_us"), "block": F.floor(F.col("ts_us") / size)})
+    ends = F.col("ts_us") + F.coalesce("lead_us", F.lit(0))
+    facts = own.groupBy("instrument", "block").agg(F.coalesce(F.max("lead_us"), F.lit(0)).alias("gap"), F.max(ends).alias("end"))
+    earlier = Window.partitionBy("instrument").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    facts = facts.select("instrument", "block", "gap", F.max("end").over(earlier).alias("latest"))
+    needed = F.greatest(F.col("ts_us") + F.col("gap"), F.col("latest")) + memory + 1_000_000
+    dealt = own.join(facts, ["instrument", "block"]).withColumn("home", F.col("block"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.col("home"), F.floor(needed / size))))
+    return dealt.withColumn("home", F.col("home") == F.col("block")).drop("gap", "latest")
+
+
+#: Seconds of a block at least, and least length of a block in memories of its metrics: a fifth of what a task reads is history at most, gaps aside.
+WEEK, MEMORIES = 7 * 86_400.0, 4.0
 
 
 def add_metrics(ticks: DataFrame, metrics: Iterable[Metric], block_s: float | None = None) -> DataFrame:
     """ticks (instrument, seq, ts_us, bid, ask, mid) with the columns `name.output` of every enabled metric.
 
-    Equal parameters are computed once. Rows are dealt by (instrument, block) in one exchange and go through one
-    vectorised pass; sessions are a column expression. With block_s, parallelism does not depend on the number of
-    instruments, at the price of a copy of the history at each block's start.
+    Equal parameters are computed once; sessions are a column expression. Metrics of bounded memory go through one
+    vectorised pass over blocks of time with their history, so parallelism does not depend on the number of instruments;
+    block_s sets the blocks' length (by default a week, or four memories if that is more). Metrics of unbounded memory
+    (state machines) follow in a pass over whole instruments in arrival order, piece by piece.
     """
     enabled = [m for m in metrics if m.enabled]
     names = [m.name for m in enabled]
     if len(set(names)) != len(names):
         raise ConfigError(f"metric names repeat: {sorted({n for n in names if names.count(n) > 1})}")
     ordered = [m for m in enabled if not isinstance(m, Session)]
-    out = ticks
-    if ordered:
-        base = ["instrument", "seq", "ts_us", "bid", "ask", "mid"]
-        dealt = with_history(ticks.select(*base), block_s, max(m.memory_s() for m in ordered))
-        keyed = dealt.select(F.xxhash64("instrument", "block").alias("key"), *base, "home", "first")
-        width = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sorted_ = keyed.repartition(width, "key").sortWithinPartitions("key", "seq")
-        columns = [c for m in ordered for c in m.columns()]
-        schema = "instrument string, seq long, ts_us long, bid double, ask double, mid double, " + ", ".join(f"`{c}` double" for c in columns)
-        out = sorted_.mapInArrow(_kernel(ordered), schema)
+    bounded, endless = ([m for m in ordered if math.isfinite(m.memory_s()) == x] for x in (True, False))
+    out, base = ticks, ["instrument", "seq", "ts_us", "bid", "ask", "mid"]
+    width = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = "instrument string, seq long, ts_us long, bid double, ask double, mid double"
+    made: list[str] = []
+    if bounded:
+        memory = max(m.memory_s() for m in bounded)
+        before = F.col("before_us") if "before_us" in ticks.columns else F.lag("ts_us").over(Window.partitionBy("instrument").orderBy("seq"))
+        dealt = with_history(ticks.select(*base, before.alias("before_us")), block_s or max(WEEK, MEMORIES * memory), memory)
+        keyed = dealt.select(F.xxhash64("instrument", "block").alias("key"), *base, "home", "lead_us")
+        made = [c for m in bounded for c in m.columns()]
+        out = keyed.repartition(width, "key").sortWithinPartitions("key", "seq").mapInArrow(_kernel(bounded), kinds + "".join(f", `{c}` double" for c in made))
+    if endless:
+        keyed = out.select(F.xxhash64("instrument").alias("key"), *base, *[f"`{c}`" for c in made]).repartition(width, "key").sortWithinPartitions("key", "seq")
+        schema = kinds + "".join(f", `{c}` double" for c in (*made, *(c for m in endless for c in m.columns())))
+        out = map_arrow(keyed, _machines(endless), schema)
+    columns = [c for m in ordered for c in m.columns()]
     labels = [Session.column().alias(c) for m in enabled if isinstance(m, Session) for c in m.columns()]
-    return out.select("*", *labels) if labels else out
+    return out.select(*base, *[F.col(f"`{c}`") for c in columns], *labels) if ordered else out.select("*", *labels)
+
+
+def _machines(metrics: list[Metric]) -> Callable:
+    """Metrics of unbounded memory: one that can go on keeps its state from piece to piece, others get the whole instrument."""
+
+    def run(batches):
+        states: list = []
+        held: list[pa.RecordBatch] = []
+        going = all(hasattr(m, "machine") for m in metrics)
+
+        def done(piece, arrays):
+            new = {c: pa.array(values[o], pa.float64()) for m, values in zip(metrics, arrays, strict=True) for c, o in zip(m.columns(), m.outputs, strict=True)}
+            return pa.RecordBatch.from_arrays([*piece.columns[1:], *new.values()], names=[*piece.schema.names[1:], *new])
+
+        for piece, first, last in runs(batches):
+            if going:
+                states = [m.machine() for m in metrics] if first else states
+                yield done(piece, [s.run(numpy_of(piece, "ts_us"), numpy_of(piece, "mid")) for s in states])
+                continue
+            held.append(piece)
+            if last:
+                table = pa.Table.from_batches(held).combine_chunks()
+                held = []
+                ticks = {c: numpy_of(table, c) for c in ("ts_us", "bid", "ask", "mid")}
+                batch = table.to_batches()[0]
+                yield done(batch, [m.arrays(ticks, True) for m in metrics])
+
+    return run
 
 
 def _kernel(metrics: list[Metric]) -> Callable:
@@ -340,13 +381,14 @@ def _kernel(metrics: list[Metric]) -> Callable:
         for table in whole(runs(batches)):
             home = table.column("home").to_numpy()
             ticks = {c: numpy_of(table, c) for c in ("ts_us", "bid", "ask", "mid")}
-            first = bool(table.column("first")[0].as_py())
+            lead = table.column("lead_us")[0].as_py()
+            ticks["lead_us"] = lead or 0
             done: dict[tuple, dict[str, np.ndarray]] = {}
             arrays = []
             for m in metrics:
                 key = (type(m), *(getattr(m, f.name) for f in fields(m) if f.name not in ("name", "enabled")))
                 if key not in done:
-                    done[key] = m.arrays(ticks, first)
+                    done[key] = m.arrays(ticks, lead is None)
                 arrays += [pa.array(done[key][o][home], pa.float64()) for o in m.outputs]
             kept = [table.column(c).combine_chunks().filter(pa.array(home)) for c in ("instrument", "seq", "ts_us", "bid", "ask", "mid")]
             out = pa.Table.from_arrays([*kept, *arrays], names=["instrument", "seq", "ts_us", "bid", "ask", "mid", *(c for m in metrics for c in m.columns())])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickspark.operators import kernels
 from tickspark.operators.arrow import map_arrow, numpy_of, runs
-from tickspark.operators.engines import META, StubParams, arrival
+from tickspark.operators.engines import META, StubParams, ThresholdReversionParams, arrival, in_order
 from tickspark.operators.predicates import Predicate, all_hold
 
 
@@ -47,14 +47,9 @@ def signals(metrics: DataFrame, strategy: Strategy, pip_size: float, warmup_s: f
 
     Predicates filter after the engine has run, so a blocked intent is used up. Nothing opens or closes in the warm-up.
     """
-    entry_ok = all_hold(strategy.entry_predicates, metrics.schema)
-    exit_ok = all_hold(strategy.exit_predicates, metrics.schema)
-    if not strategy.exit_predicates and not strategy.empty_exit_closes:
-        exit_ok = F.lit(False)
     # one exchange for the windows, the engine and the ledger; a fixed number of partitions keeps the Python passes parallel
-    dealt = metrics.repartition(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument")
-    decided = live(dealt.withColumns({"entry_ok": entry_ok, "exit_ok": exit_ok}), warmup_s)
-    intents = strategy.params.apply(decided, pip_size)
+    dealt = decided(metrics, strategy).repartition(int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions")), "instrument")
+    intents = strategy.params.apply(live(dealt, warmup_s), pip_size)
     reason = F.when(F.col("sig_open") & ~F.col("entry_ok"), "entry_predicate_blocked").otherwise(strategy.entry_name)
     return intents.withColumns({"should_open": F.col("sig_open") & F.col("entry_ok") & F.col("live"), "should_close": F.col("exit_ok") & F.col("live"), "reason": reason}).drop("entry_ok", "exit_ok")
 
@@ -66,33 +61,66 @@ LEDGER = (
 )
 
 
-def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_columns: list[str] | None = None) -> DataFrame:
-    """The ledger: one row per closed trade, with the metrics at its signal.
+class Signalled:
+    """Signals of one instrument that stand in its rows already."""
+
+    COLUMNS = ("instrument", "seq", "ts_us", "mid", "should_open", "sig_direction", "sig_tp", "sig_sl", "sig_timeout", "sig_threshold", "should_close", "live")
+
+    def __call__(self, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """The piece, and what the ledger is fed of its live rows: seq, time, mid, opens, direction, tp, sl, timeout, threshold, closes."""
+        get = [numpy_of(piece, c) for c in self.COLUMNS[1:]]
+        alive = np.flatnonzero(get.pop())
+        start = alive[0] if len(alive) else len(get[0])
+        return piece, [v[start:] for v in get]
+
+
+class Reverting:
+    """Signals of one instrument from the threshold-reversion machine, whose state it holds between pieces."""
+
+    COLUMNS = ("instrument", "seq", "ts_us", "mid", "entry_ok", "exit_ok")
+
+    def __init__(self, params, pip_size: float, warmup_s: float) -> None:
+        self.machine = kernels.Reversion(params.lookback_seconds, params.threshold_pips, params.tp_pips, params.sl_pips, pip_size, params.min_recency_seconds, params.trade_timeout_seconds)
+        self.timeout = params.trade_timeout_seconds or math.nan
+        self.warm_us, self.begin, self.live = max(0.0, warmup_s) * 1e6, None, False
+
+    def __call__(self, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        seq, ts, mid, entry_ok, exit_ok = (numpy_of(piece, c) for c in self.COLUMNS[1:])
+        n = len(seq)
+        at, fields = self.machine.edges(ts, mid)
+        spread = lambda values: _put(n, at, values)
+        direction, opens = np.zeros(n, np.int32), np.zeros(n, bool)
+        direction[at] = fields["position"].astype(np.int32)
+        opens[at] = entry_ok[at]  # a blocked edge is used up
+        metas = {f"meta_{x}": pa.array(spread(fields[x])) for x in META["threshold_reversion"]}
+        start = 0
+        if not self.live:
+            self.begin = ts[0] if self.begin is None else self.begin
+            reached = np.flatnonzero(ts - self.begin >= self.warm_us)
+            self.live, start = len(reached) > 0, int(reached[0]) + 1 if len(reached) else n
+        fed = [seq, ts, mid, opens, direction, spread(fields["tp_price"]), spread(fields["sl_price"]), np.full(n, self.timeout), np.full(n, self.machine.threshold), exit_ok]
+        return pa.RecordBatch.from_arrays([*piece.columns, *metas.values()], names=[*piece.schema.names, *metas]), [v[start:] for v in fed]
+
+
+def _put(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.full(n, math.nan)
+    out[at] = values
+    return out
 
-    signalled comes from signals(), whose rows are already whole per instrument and in arrival order; the ledger keeps
-    one open trade per instrument as its state, so nothing is shuffled or gathered again.
-    """
-    captured = metric_columns if metric_columns is not None else [c for c in signalled.columns if "." in c]
-    metas = [f"meta_{x}" for x in META.get(strategy.engine, ()) if f"meta_{x}" in signalled.columns]
-    types = {f.name: f.dataType.simpleString() for f in signalled.schema.fields}
-    kept = [*captured, *metas]
-    needed = signalled.select("instrument", "seq", "ts_us", "mid", "should_open", "sig_direction", "sig_tp", "sig_sl", "sig_timeout", "sig_threshold", "should_close", "live", *[f"`{c}`" for c in kept])
-    multiples = strategy.params.multiples()
-    schema = "instrument string, " + ", ".join(f"{n} {k}" for n, k, _ in LEDGER) + "".join(f", `{c}` {types[c]}" for c in kept)
+
+def ledger_pass(signals_of, multiples: tuple, exit_name: str, pip_size: float, kept: list[str]):
+    """One pass over ordered pieces: signals_of() gives an instrument's signals, and one open trade per instrument is the state."""
 
     def run(batches):
-        ledger, at_signal = None, None
-        for piece, first, last in runs(batches):
+        source, ledger, at_signal = None, None, None
+        for raw, first, last in runs(batches):
             if first:
-                ledger, at_signal = kernels.Ledger(pip_size, strategy.exit_name, *multiples), None
-            get = {c: numpy_of(piece, c) for c in ("seq", "ts_us", "mid", "should_open", "sig_direction", "sig_tp", "sig_sl", "sig_timeout", "sig_threshold", "should_close", "live")}
-            alive = np.flatnonzero(get["live"])
-            start = alive[0] if len(alive) else len(get["seq"])
-            cut = {k: v[start:] for k, v in get.items() if k != "live"}
-            done = ledger.feed(*cut.values())
+                source, ledger, at_signal = signals_of(), kernels.Ledger(pip_size, exit_name, *multiples), None
+            piece, fed = source(raw)
+            done = ledger.feed(*fed)
             if last:
                 done = done + ledger.finish()
-            here = get["seq"]
+            here = numpy_of(piece, "seq")
 
             def rows_of(closed_trades, piece=piece, here=here, carried=at_signal):
                 """Rows at the trades' signals, in order; only the first can have been signalled in an earlier piece."""
@@ -110,10 +138,33 @@ def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_col
                 yield pa.RecordBatch.from_arrays(columns, names=["instrument", *(n for n, _, _ in LEDGER), *kept])
             at_signal = rows_of([ledger.trade]).to_batches()[0] if ledger.trade else None
 
-    closed = map_arrow(needed, run, schema)
+    return run
+
+
+def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_columns: list[str] | None = None) -> DataFrame:
+    """The ledger: one row per closed trade, with the metrics at its signal.
+
+    signalled comes from signals(), whose rows are already whole per instrument and in arrival order; the ledger keeps
+    one open trade per instrument as its state, so nothing is shuffled or gathered again.
+    """
+    captured = metric_columns if metric_columns is not None else [c for c in signalled.columns if "." in c]
+    metas = [f"meta_{x}" for x in META.get(strategy.engine, ()) if f"meta_{x}" in signalled.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in signalled.schema.fields}
+    needed = signalled.select(*Signalled.COLUMNS, *[f"`{c}`" for c in (*captured, *metas)])
+    return _told(needed, Signalled, strategy, pip_size, captured, metas, kinds)
+
+
+def _told(needed: DataFrame, signals_of, strategy: Strategy, pip_size: float, captured: list[str], metas: list[str], kinds: dict[str, str]) -> DataFrame:
+    kept = [*captured, *metas]
+    schema = "instrument string, " + ", ".join(f"{n} {k}" for n, k, _ in LEDGER) + "".join(f", `{c}` {kinds[c]}" for c in kept)
+    closed = map_arrow(needed, ledger_pass(signals_of, strategy.params.multiples(), strategy.exit_name, pip_size, kept), schema)
     time = lambda c: F.timestamp_micros(c)
     none = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c))
-    metadata = F.struct(none("threshold").alias("threshold"), none("tp").alias("tp_price"), none("sl").alias("sl_price"), *[F.col(m).alias(m[5:]) for m in metas if m not in ("meta_tp_price", "meta_sl_price")], F.col("direction").alias("direction"), F.col("signal_price").alias("signal_price"), none("timeout").alias("trade_timeout_seconds"))
+    metadata = F.struct(
+        none("threshold").alias("threshold"), none("tp").alias("tp_price"), none("sl").alias("sl_price"),
+        *[F.col(m).alias(m[5:]) for m in metas if m not in ("meta_tp_price", "meta_sl_price")],
+        F.col("direction").alias("direction"), F.col("signal_price").alias("signal_price"), none("timeout").alias("trade_timeout_seconds"),
+    )
     return closed.select(
         F.col("instrument").alias("pair"), time("fill_us").alias("entry_time"), time("exit_us").alias("exit_time"), time("fill_us").alias("timestamp_entry"), time("exit_us").alias("timestamp_exit"),
         "direction", "entry_price", "exit_price", "pnl_pips", "holding_seconds", "outcome_label", F.lit(strategy.entry_name).alias("reason"),
@@ -122,9 +173,21 @@ def trades(signalled: DataFrame, strategy: Strategy, pip_size: float, metric_col
     )
 
 
+def decided(metrics: DataFrame, strategy: Strategy) -> DataFrame:
+    """metrics with entry_ok and exit_ok: what the strategy's predicates say of each row."""
+    exit_ok = F.lit(False) if not strategy.exit_predicates and not strategy.empty_exit_closes else all_hold(strategy.exit_predicates, metrics.schema)
+    return metrics.withColumns({"entry_ok": all_hold(strategy.entry_predicates, metrics.schema), "exit_ok": exit_ok})
+
+
 def run_strategy(metrics: DataFrame, strategy: Strategy, pip_size: float, warmup_s: float) -> DataFrame:
-    """signals() then trades()."""
+    """The ledger of a strategy: signals() then trades(), the reversion engine with both in one pass over the ordered ticks."""
     captured = [c for c in metrics.columns if "." in c]
+    if isinstance(strategy.params, ThresholdReversionParams):
+        params = strategy.params
+        needed = in_order(decided(metrics, strategy).select(*Reverting.COLUMNS, *[f"`{c}`" for c in captured]))
+        metas = [f"meta_{x}" for x in META["threshold_reversion"]]
+        kinds = {f.name: f.dataType.simpleString() for f in metrics.schema.fields} | dict.fromkeys(metas, "double")
+        return _told(needed, lambda: Reverting(params, pip_size, warmup_s), strategy, pip_size, captured, metas, kinds)
     return trades(signals(metrics, strategy, pip_size, warmup_s), strategy, pip_size, captured)
 
 

@@ -25,7 +25,7 @@ def quote_issue() -> Column:
 
 
 def audit(ticks: DataFrame) -> DataFrame:
-    """ticks (instrument, seq, ts_us, bid, ask, mid, ...) with `issue`: null for accepted ticks.
+    """ticks (instrument, seq, ts_us, bid, ask, mid, ...) with before_us, the time of the accepted tick before, and `issue`, null for accepted ticks.
 
     A sound tick is a regression if an earlier sound tick of its instrument is later: rejected regressions lie below
     that maximum, so the maximum over all earlier sound ticks is that over the accepted ones. It is carried in two
@@ -37,9 +37,9 @@ def audit(ticks: DataFrame) -> DataFrame:
     carried = parts.withColumn("__carried", F.max("__latest").over(before(Window.partitionBy("instrument").orderBy("__part")))).drop("__latest")
     within = F.max("__time").over(before(Window.partitionBy("instrument", "__part").orderBy("seq")))
     both = marked.withColumn("__within", within).join(carried, ["instrument", "__part"])
-    regression = F.col("__own").isNull() & (F.col("ts_us") < F.greatest("__within", "__carried"))
-    issue = F.when(F.coalesce(regression, F.lit(False)), "timestamp_regression").otherwise(F.col("__own"))
-    return both.select(*ticks.columns, issue.alias("issue"))
+    latest = F.greatest("__within", "__carried")
+    issue = F.when(F.coalesce(F.col("__own").isNull() & (F.col("ts_us") < latest), F.lit(False)), "timestamp_regression").otherwise(F.col("__own"))
+    return both.select(*[c for c in ticks.columns if c != "before_us"], latest.alias("before_us"), issue.alias("issue"))
 
 
 def accepted(audited: DataFrame) -> DataFrame:

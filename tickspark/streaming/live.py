@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,17 +43,18 @@ def reversion_stream(quotes: DataFrame, params: ThresholdReversionParams, pip_si
 
         machine, latest, before = pickle.loads(state.get[0]) if state.exists else (kernels.Reversion(params.lookback_seconds, params.threshold_pips, params.tp_pips, params.sl_pips, pip_size, params.min_recency_seconds, params.trade_timeout_seconds), None, 0.0)
         ticks = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        rows = []
-        for seq, ts, mid in zip(ticks.seq.tolist(), ticks.ts_us.tolist(), ticks.mid.tolist(), strict=True):
-            if latest is not None and ts < latest:
-                rows.append((key[0], seq, ts, mid, None, None, False, True))
-                continue
-            latest = ts
-            values = machine.step(ts, mid)
-            rows.append((key[0], seq, ts, mid, values[0], values[1], values[0] != 0 and values[0] != before, False))
-            before = values[0]
+        ts, mid = ticks.ts_us.to_numpy(np.int64), ticks.mid.to_numpy(float)
+        seen = np.maximum.accumulate(np.concatenate(([ts[0] if latest is None else latest], ts)))
+        late = ts < seen[:-1]
+        values = machine.run(ts[~late], mid[~late])
+        position = values["position"]
+        taken = (position != 0) & (position != np.concatenate(([before], position[:-1])))
+        out = pd.DataFrame({"instrument": key[0], "seq": ticks.seq.to_numpy(), "ts_us": ts, "mid": mid, "position": np.nan, "reference_price": np.nan, "opens": False, "late": late})
+        out.loc[~late, "position"], out.loc[~late, "reference_price"], out.loc[~late, "opens"] = position, values["reference_price"], taken
+        latest, before = int(seen[-1]), float(position[-1]) if len(position) else before
         state.update((pickle.dumps((machine, latest, before)),))
-        yield pd.DataFrame(rows, columns=[x.split()[0] for x in OUTPUT.split(", ")])
+        out.columns = [x.split()[0] for x in OUTPUT.split(", ")]
+        yield out
 
     return sound(quotes).groupBy("instrument").applyInPandasWithState(step, OUTPUT, "state binary", "append", GroupStateTimeout.NoTimeout)
 
