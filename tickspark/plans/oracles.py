@@ -121,8 +121,8 @@ TRADES_CROSSOVER = trades(SIGNALS, 30, 20, 6 * H)
 TRADES_STUB = f"SELECT * FROM ({TRADES_CROSSOVER}) WHERE false"
 
 
-def reversion(source: str) -> str:
-    """CTEs whose last, st, has the machine's state at every tick of `source` (instrument, i, ts_us, mid): lookback 6 hours, threshold 40, recency 10 minutes.
+def reversion(source: str, recency_s: int = 600, tag: str = "") -> str:
+    """CTEs whose last, st{tag}, has the machine's state at every tick of `source` (instrument, i, ts_us, mid): lookback 6 hours, threshold 40.
 
     A reference is the latest earlier tick that no tick up to now has reached or passed and that is far and old enough.
     """
@@ -130,18 +130,18 @@ def reversion(source: str) -> str:
     def side(name: str, past: str, away: str) -> str:
         return f"""
 {name}_g AS (SELECT a.instrument, a.i, min(b.i) AS gone FROM {source} a JOIN {source} b ON a.instrument = b.instrument AND b.i > a.i AND b.mid {past} a.mid GROUP BY a.instrument, a.i),
-{name} AS (SELECT n.instrument, n.i, max(j.i) AS ref FROM {source} n JOIN {source} j ON j.instrument = n.instrument AND j.i < n.i AND j.ts_us >= n.ts_us - {6 * H * 1_000_000} AND j.ts_us <= n.ts_us - 600000000 AND {away} >= 40
+{name} AS (SELECT n.instrument, n.i, max(j.i) AS ref FROM {source} n JOIN {source} j ON j.instrument = n.instrument AND j.i < n.i AND j.ts_us >= n.ts_us - {6 * H * 1_000_000} AND j.ts_us <= n.ts_us - {recency_s * 1_000_000} AND {away} >= 40
            LEFT JOIN {name}_g g ON g.instrument = j.instrument AND g.i = j.i WHERE coalesce(g.gone > n.i, true) GROUP BY n.instrument, n.i)"""
 
-    return f"""{side('lo', '<=', 'n.mid - j.mid')}, {side('hi', '>=', 'j.mid - n.mid')},
-rc AS (SELECT n.instrument, n.i, n.ts_us, n.mid, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.ts_us ELSE b.ts_us END AS ref_us, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.mid ELSE b.mid END AS ref,
+    return f"""{side(f'lo{tag}', '<=', 'n.mid - j.mid')}, {side(f'hi{tag}', '>=', 'j.mid - n.mid')},
+rc{tag} AS (SELECT n.instrument, n.i, n.ts_us, n.mid, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.ts_us ELSE b.ts_us END AS ref_us, CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN a.mid ELSE b.mid END AS ref,
               CASE WHEN a.ts_us >= coalesce(b.ts_us, a.ts_us) THEN -1 WHEN b.ts_us IS NOT NULL THEN 1 END AS side
-       FROM {source} n LEFT JOIN lo USING (instrument, i) LEFT JOIN hi USING (instrument, i) LEFT JOIN {source} a ON a.instrument = n.instrument AND a.i = lo.ref LEFT JOIN {source} b ON b.instrument = n.instrument AND b.i = hi.ref),
-st AS (SELECT instrument, i, ts_us, mid, 0 AS position, CAST(NULL AS DOUBLE) AS ref, CAST(NULL AS BIGINT) AS ref_us, CAST(NULL AS BIGINT) AS open_us, CAST(NULL AS DOUBLE) AS open_mid FROM rc WHERE i = 1
+       FROM {source} n LEFT JOIN lo{tag} lo USING (instrument, i) LEFT JOIN hi{tag} hi USING (instrument, i) LEFT JOIN {source} a ON a.instrument = n.instrument AND a.i = lo.ref LEFT JOIN {source} b ON b.instrument = n.instrument AND b.i = hi.ref),
+st{tag} AS (SELECT instrument, i, ts_us, mid, 0 AS position, CAST(NULL AS DOUBLE) AS ref, CAST(NULL AS BIGINT) AS ref_us, CAST(NULL AS BIGINT) AS open_us, CAST(NULL AS DOUBLE) AS open_mid FROM rc{tag} WHERE i = 1
        UNION ALL SELECT instrument, i, ts_us, mid, CASE WHEN keep THEN position ELSE coalesce(side, 0) END, CASE WHEN keep THEN old_ref ELSE new_ref END, CASE WHEN keep THEN old_us ELSE new_us END,
                         CASE WHEN keep THEN open_us WHEN side IS NOT NULL THEN ts_us END, CASE WHEN keep THEN open_mid WHEN side IS NOT NULL THEN mid END
        FROM (SELECT c.instrument, c.i, c.ts_us, c.mid, c.side, c.ref AS new_ref, c.ref_us AS new_us, s.position, s.ref AS old_ref, s.ref_us AS old_us, s.open_us, s.open_mid,
-                    s.position <> 0 AND abs(c.mid - s.ref) > 1 AND c.side IS NOT NULL AND abs(c.ref - s.ref) <= 0.1 AS keep FROM st s JOIN rc c ON c.instrument = s.instrument AND c.i = s.i + 1))"""
+                    s.position <> 0 AND abs(c.mid - s.ref) > 1 AND c.side IS NOT NULL AND abs(c.ref - s.ref) <= 0.1 AS keep FROM st{tag} s JOIN rc{tag} c ON c.instrument = s.instrument AND c.i = s.i + 1))"""
 
 
 METRIC_REVERSION = f"""WITH RECURSIVE {TICKS}, {PLACED}, {reversion('n')}
@@ -153,6 +153,35 @@ u AS (SELECT st.*, n.seq, c.c AS rate, st.ts_us - first(st.ts_us) OVER (PARTITIO
 o AS (SELECT instrument, seq, i, ts_us, mid, position AS direction, false AS should_close,
              position <> 0 AND position <> before AND rate > 2 AND coalesce(bool_or(reached) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS should_open FROM u)""", 30, 60, 12 * H)
 
+#: The sweep's configurations: recency in seconds; take profit, stop loss and timeout.
+SWEEP_RECENCY = (0, 600, 1800, 3600, 7200)
+SWEEP_LEVELS = [(tp, sl, t * H) for tp, sl in ((30, 30), (40, 20), (20, 40), (60, 60)) for t in (2, 6, 12, 24)]
+
+
+def sweep_summary() -> str:
+    """The ledgers of all configurations: one machine per recency, its candidates crossed with the levels, and the walk of trades()."""
+    machines = ", ".join(reversion("n", r, f"_{r}") for r in SWEEP_RECENCY)
+    states = " UNION ALL ".join(f"SELECT {r} AS rec, instrument, i, ts_us, mid, position, coalesce(lag(position) OVER (PARTITION BY instrument ORDER BY i), 0) AS before FROM st_{r}" for r in SWEEP_RECENCY)
+    levels = ", ".join(map(str, SWEEP_LEVELS))
+    keys = "rec, tp_pips, sl_pips, timeout, instrument"
+    return f"""WITH RECURSIVE {TICKS}, {PLACED}, {machines},
+lv AS (SELECT instrument, min(i) FILTER (WHERE ts_us - begin_us >= 86400000000) AS warm, max(i) AS last_i FROM (SELECT *, min(ts_us) OVER (PARTITION BY instrument) AS begin_us FROM n) GROUP BY instrument),
+o AS (SELECT * FROM ({states}) WHERE position <> 0 AND position <> before),
+cf(tp_pips, sl_pips, timeout) AS (VALUES {levels}),
+k AS (SELECT a.rec, cf.*, a.instrument, a.i, a.position AS direction, a.mid + tp_pips * a.position AS tp, a.mid - sl_pips * a.position AS sl, f.i AS fill_i, f.ts_us AS entry_us, f.mid AS entry_price, lv.last_i
+      FROM o a JOIN lv USING (instrument) JOIN n f ON f.instrument = a.instrument AND f.i = least(a.i + 1, lv.last_i) JOIN cf ON true WHERE a.i > lv.warm),
+j AS (SELECT k.rec, k.tp_pips, k.sl_pips, k.timeout, k.instrument, k.i, min(b.i) AS close_i FROM k JOIN n b ON b.instrument = k.instrument AND b.i > k.fill_i AND b.i <= k.fill_i + 2000
+      AND ((b.mid - k.tp) * k.direction >= 0 OR (b.mid - k.sl) * k.direction <= 0 OR b.ts_us - k.entry_us >= k.timeout::BIGINT * 1000000) GROUP BY ALL),
+d AS (SELECT k.*, coalesce(j.close_i, k.last_i) AS close_i, j.close_i IS NULL AS ended FROM k LEFT JOIN j USING ({keys}, i)),
+y AS (SELECT d.*, b.mid AS px, CASE WHEN ended THEN b.mid WHEN (b.mid - sl) * d.direction <= 0 THEN sl WHEN (b.mid - tp) * d.direction >= 0 THEN tp ELSE b.mid END AS exit_price,
+             row_number() OVER (PARTITION BY {', '.join('d.' + x for x in keys.split(', '))} ORDER BY d.i) AS nth FROM d JOIN n b ON b.instrument = d.instrument AND b.i = d.close_i),
+r AS (SELECT {keys}, nth, true AS taken, close_i + CAST(ended AS INTEGER) AS until FROM y WHERE nth = 1
+      UNION ALL SELECT {', '.join('y.' + x for x in keys.split(', '))}, y.nth, y.i >= r.until, CASE WHEN y.i >= r.until THEN y.close_i + CAST(y.ended AS INTEGER) ELSE r.until END
+      FROM r JOIN y ON {' AND '.join(f'y.{x} = r.{x}' for x in keys.split(', '))} AND y.nth = r.nth + 1)
+SELECT 'min' || rec || '_tp' || tp_pips || '_sl' || sl_pips || '_timeout' || timeout AS label, instrument AS pair, count(*) AS trade_count, round(avg((exit_price - entry_price) * direction), 6) + 0.0 AS avg_pnl_pips,
+       rec AS min_recency_seconds, tp_pips, timeout AS trade_timeout_seconds FROM y JOIN r USING ({keys}, nth) WHERE r.taken GROUP BY {keys}"""
+
+
 #: The ledger of sample_trades().
 LEDGER = """
 e AS (SELECT event_type AS pair, event_id AS signal_seq, epoch_us(ts) AS entry_us, epoch_us(ts) + (event_id * 7919 % 7200 + 60) * 1000000 AS exit_us, round(value, 2) - 50 AS pnl_pips,
@@ -211,6 +240,18 @@ s AS (SELECT min(x) AS a, max(x) AS z, CAST(greatest(20, least(400, ceil((max(x)
 g AS (SELECT k, CASE WHEN k = nb THEN z ELSE a + k * ((z - a) / nb) END AS edge FROM (SELECT *, unnest(range(0, nb + 1)) AS k FROM s)),
 i AS (SELECT k AS bin, edge AS lo, lead(edge) OVER (ORDER BY k) AS hi FROM g)
 SELECT 'holding_seconds' AS metric, bin, count(*) AS count, round(avg(y), 8) + 0.0 AS avg_pnl, round(lo, 4) + 0.0 AS bin_left FROM i JOIN l ON x <= hi AND (x > lo OR (bin = 0 AND x = lo)) GROUP BY bin, lo"""
+#: Thirty even bins as their labels show them: edges rounded to three digits, the first one lowered by one.
+PLOT_ROWS = f"""WITH {LEDGER}, l AS (SELECT v1 AS x, pnl_pips AS y FROM e),
+q AS (SELECT quantile_cont(x, 0.001) AS lo, quantile_cont(x, 0.999) AS hi FROM l), s AS (SELECT min(x) AS a, max(x) AS z FROM l, q WHERE x BETWEEN lo AND hi),
+g AS (SELECT k, CASE WHEN k = 30 THEN z ELSE a + k * ((z - a) / 30) END AS edge FROM s, range(0, 31) t(k)),
+h AS (SELECT *, CASE WHEN edge = 0 OR trunc(edge) <> 0 THEN round(edge, 3) ELSE round(edge, CAST(2 - floor(log10(abs(edge))) AS INTEGER)) END - CASE WHEN k = 0 THEN 0.001 ELSE 0 END AS label FROM g),
+i AS (SELECT k AS bin, edge AS lo, lead(edge) OVER w AS hi, label AS l_lo, lead(label) OVER w AS l_hi FROM h WINDOW w AS (ORDER BY k)),
+b AS (SELECT bin, count(*) AS count, avg(y) AS avg_pnl, 0.5 * (l_lo + l_hi) AS center, l_hi - l_lo AS width FROM i JOIN l ON x <= hi AND (x > lo OR (bin = 0 AND x = lo)) GROUP BY bin, l_lo, l_hi HAVING count(*) >= 5),
+c AS (SELECT * FROM (SELECT *, median(width) OVER () AS usual FROM b) WHERE width <= 10 * usual),
+p AS (SELECT quantile_cont(center, 0.005) AS x_low, quantile_cont(center, 0.995) AS x_high FROM c)
+SELECT 'm.value' AS metric, CAST(bin AS INTEGER) AS bin, count, round(center, 6) AS bin_center, round(avg_pnl, 8) + 0.0 AS avg_pnl,
+       CASE WHEN count(*) OVER w = 5 THEN round(avg(avg_pnl) OVER w, 8) + 0.0 END AS smoothed, round(x_low, 6) AS x_low, round(x_high, 6) AS x_high
+FROM c, p WINDOW w AS (ORDER BY bin ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
 SWEEP_BINS = f"""WITH {LEDGER}, s AS (SELECT min(v1) AS low, max(v1) AS high FROM e),
 b AS (SELECT least(greatest(CAST(ceil((v1 - low) / ((high - low) / 300)) AS BIGINT) - 1, 0), 299) AS bin, pnl_pips AS y FROM e, s)
 SELECT bin, count(*) AS count, round(avg(CASE WHEN y > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(y), 8) + 0.0 AS avg_pnl, round(stddev_samp(y), 6) + 0.0 AS std_pnl FROM b GROUP BY bin HAVING count(*) > 1"""
@@ -218,11 +259,18 @@ SWEEP_GRID = """SELECT 'min' || r || '_tp' || p || '_sl' || p || '_timeout' || t
 FROM unnest([0, 30, 60, 90, 120]) a(r), unnest([10, 8, 6, 12]) b(p), unnest([60, 120, 180, 300]) c(t)"""
 
 
+#: Shards of January 2024: place in the file and month make seq; quotes are 32-bit floats.
+SHARDS = f"""WITH {TICKS}, f AS (SELECT instrument, ((2024 * 12 + 1)::BIGINT << 40) + row_number() OVER (PARTITION BY instrument ORDER BY seq) - 1 AS seq, ts_us, CAST(CAST(bid AS FLOAT) AS DOUBLE) AS bid, CAST(CAST(ask AS FLOAT) AS DOUBLE) AS ask FROM t)
+SELECT instrument, seq, ts_us, round(bid, 6) AS bid, round(ask, 6) AS ask, round((bid + ask) * CAST(0.5 AS DOUBLE), 6) AS mid FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "flagship_session_spread": FLAGSHIP,
         "ticks": f"WITH {TICKS} SELECT instrument, seq, ts_us, bid, round(ask, 6) AS ask, round(mid, 6) AS mid FROM t",
         "time_slice": f"WITH {TICKS} SELECT instrument, seq, ts_us, round(mid, 6) AS mid FROM t WHERE ts_us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-07 12:00:00')",
+        "shard_ticks": SHARDS,
+        "shard_slice": f"{SHARDS} WHERE instrument = 'click' AND ts_us BETWEEN epoch_us(TIMESTAMP '2024-01-05 00:00:00') AND epoch_us(TIMESTAMP '2024-01-07 12:00:00')",
         "validate": f"WITH {FAULTY} SELECT instrument, seq, ts_us, issue FROM v",
         "validation_tally": f"""WITH {FAULTY} SELECT instrument, count(*) AS total_ticks, count(*) FILTER (WHERE issue IS NULL) AS accepted_ticks, count(issue) AS skipped_ticks, count(*) FILTER (WHERE issue = 'missing_field:bid') AS missing_field_bid,
             count(*) FILTER (WHERE issue = 'negative_spread') AS negative_spread, count(*) FILTER (WHERE issue = 'timestamp_regression') AS timestamp_regression FROM v GROUP BY instrument""",
@@ -248,4 +296,6 @@ def oracle_sql() -> dict[str, str]:
         "stratify_focus": FOCUS,
         "sweep_bins": SWEEP_BINS,
         "sweep_grid": SWEEP_GRID,
+        "sweep_summary": sweep_summary(),
+        "stratify_plot_rows": PLOT_ROWS,
     }

@@ -5,7 +5,10 @@ Events are some minutes apart, so windows are hours and a pip is 1.0.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from tickspark.operators.metrics import add_metrics, make_metric
 from tickspark.operators.predicates import Predicate, all_hold, holds
 from tickspark.plans import sweep
 from tickspark.session import prepare
-from tickspark.sources.ticks import from_events, time_slice, with_mid
+from tickspark.sources.ticks import from_events, read_shards, read_slice, shard_path, shard_paths, with_mid
 
 H = 3600
 
@@ -175,7 +178,7 @@ def q_stratify(spark, sf_dir, merge=False):
 
 def q_plot_rows(spark, sf_dir):
     s = strat.stratify(sample_trades(spark, sf_dir), ["m.value"], [strat.Binning("nbins", nbins=30, min_count=5)])
-    return strat.plot_rows(s).select("metric", "bin", "count", r("bin_center"), r("avg_pnl"), r("smoothed"), r("x_low"), r("x_high"))
+    return strat.plot_rows(s).select("metric", F.col("bin").cast("int").alias("bin"), "count", r("bin_center"), r("avg_pnl", 8), r("smoothed", 8), r("x_low"), r("x_high"))
 
 
 def q_overall(spark, sf_dir):
@@ -200,13 +203,45 @@ def q_sweep_grid(spark, sf_dir):
 
 
 def q_sweep_summary(spark, sf_dir):
-    few = sweep.grid(prepare(spark), min_recency_seconds=(0, 600), tp_sl=((30, 30), (40, 20)), trade_timeout_seconds=(6 * H,))
-    done = sweep.run(averaged(spark, sf_dir), few, lookback_seconds=6 * H, threshold_pips=40, pip_size=1.0, warmup_s=86_400.0)
+    """A grid of the usual 5 x 4 x 4 configurations, in hours as the events are."""
+    grid = sweep.grid(prepare(spark), min_recency_seconds=(0, 600, 1800, 3600, 7200), tp_sl=((30, 30), (40, 20), (20, 40), (60, 60)), trade_timeout_seconds=(2 * H, 6 * H, 12 * H, 24 * H))
+    done = sweep.run(accepted(spark, sf_dir), grid, lookback_seconds=6 * H, threshold_pips=40, pip_size=1.0, warmup_s=86_400.0)
     return sweep.summary(done).select("label", "pair", "trade_count", r("avg_pnl_pips"), "min_recency_seconds", "tp_pips", "trade_timeout_seconds")
 
 
 def q_slice(spark, sf_dir):
-    return time_slice(ticks(spark, sf_dir), "2024-01-05 00:00:00", "2024-01-07 12:00:00").select("instrument", "seq", "ts_us", F.round("mid", 6).alias("mid"))
+    events = prepare(spark).read.parquet(f"{sf_dir}/events.parquet")
+    return from_events(events, "2024-01-05 00:00:00", "2024-01-07 12:00:00").select("instrument", "seq", "ts_us", F.round("mid", 6).alias("mid"))
+
+
+def written_shards(spark, sf_dir) -> str:
+    """The events as monthly shards per instrument, quotes as 32-bit floats, in the folder that executors share (a local one where none is set)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
+    base = f"{shared.rstrip('/')}/shards-{uuid.uuid4().hex}"
+    quotes = ticks(spark, sf_dir).select("instrument", "seq", F.col("ts").alias("timestamp"), F.col("bid").cast("float").alias("bid"), F.col("ask").cast("float").alias("ask"))
+    for name in PAIRS:
+        one = quotes.filter(F.col("instrument") == name).orderBy("seq").select("timestamp", "bid", "ask")
+        one.coalesce(1).write.parquet(shard_path(base, name, *MONTH))
+    return base
+
+
+#: Instruments and month of the event table.
+PAIRS, MONTH = ("click", "error", "purchase", "signup", "view"), (2024, 1)
+
+
+def shard_columns(t: DataFrame) -> DataFrame:
+    return t.select("instrument", "seq", "ts_us", F.round("bid", 6).alias("bid"), F.round("ask", 6).alias("ask"), F.round("mid", 6).alias("mid"))
+
+
+def q_shards(spark, sf_dir):
+    base = written_shards(spark, sf_dir)
+    return shard_columns(read_shards(prepare(spark), [p for name in PAIRS for p in shard_paths(spark, base, name, [MONTH])]))
+
+
+def q_shard_slice(spark, sf_dir):
+    """One instrument's ticks of two days, from the shard of the month that the days touch."""
+    base = written_shards(spark, sf_dir)
+    return shard_columns(read_slice(spark, base, PAIRS[0], [(2023, 12), MONTH, (2024, 2)], datetime(2024, 1, 5), datetime(2024, 1, 7, 12)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -214,6 +249,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "flagship_session_spread": q_flagship,
         "ticks": q_ticks,
         "time_slice": q_slice,
+        "shard_ticks": q_shards,
+        "shard_slice": q_shard_slice,
         "validate": q_validate,
         "validation_tally": q_tally,
         "metric_ewma": metric_query(("e", "ewma", {"tau_seconds": 2 * H}), ("b", "ewma", {"tau_seconds": 5 * H, "price_field": "BID"})),

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickspark.operators import engines, simulate
+from tickspark.operators import engines, kernels, simulate
+from tickspark.operators.arrow import runs
 from tickspark.operators.predicates import Predicate
 
 #: The standard grid: 5 x 4 x 4.
@@ -25,19 +26,50 @@ def grid(spark: SparkSession, min_recency_seconds: Sequence[int] = RECENCY, tp_s
     return rows.select(label.alias("label"), "min_recency_seconds", "tp_pips", "sl_pips", "trade_timeout_seconds")
 
 
+#: Configurations that one task runs beside each other over an instrument's ticks.
+TOGETHER = 10
+PARAMETERS = ("label", "min_recency_seconds", "tp_pips", "sl_pips", "trade_timeout_seconds")
+
+
 def run(metrics: DataFrame, configs: DataFrame, *, lookback_seconds: int, threshold_pips: float, pip_size: float, warmup_s: float, entry_predicates: Sequence[Predicate] = (), exit_predicates: Sequence[Predicate] = (), empty_exit_closes: bool = False) -> DataFrame:
-    """Trades of every configuration, with its label and parameters: one lazy plan, whose runs share the metrics.
+    """(label, pair, parameters, exit_us, pnl_pips, outcome_label) of every configuration's trades, in one plan.
 
-    The configurations are driver-side parameters (tens of rows). The metrics should be a written table when there are
-    many, so that they are computed once.
+    The configurations are driver-side parameters (tens of rows). Metrics and predicates are computed once; of a tick only
+    its time, mid and two flags move, to as many tasks as there are groups of TOGETHER configurations. A task runs the
+    machine and the ledger of its group's configurations over its instrument.
     """
-    parts = []
-    for c in configs.collect():
-        params = engines.make_params("threshold_reversion", {"lookback_seconds": lookback_seconds, "threshold_pips": threshold_pips, "tp_pips": c.tp_pips, "sl_pips": c.sl_pips, "min_recency_seconds": c.min_recency_seconds, "trade_timeout_seconds": c.trade_timeout_seconds})
-        strategy = simulate.Strategy(name=c.label, entry_name=c.label, engine="threshold_reversion", params=params, entry_predicates=tuple(entry_predicates), exit_predicates=tuple(exit_predicates), empty_exit_closes=empty_exit_closes)
-        trades = simulate.run_strategy(metrics, strategy, pip_size, warmup_s)
-        parts.append(trades.withColumns({k: F.lit(c[k]) for k in ("label", "min_recency_seconds", "tp_pips", "sl_pips", "trade_timeout_seconds")}))
-    return reduce(DataFrame.unionByName, parts)
+    rows = configs.select(*PARAMETERS).collect()
+    shared = dict(lookback_seconds=lookback_seconds, threshold_pips=threshold_pips)
+    made = [engines.make_params("threshold_reversion", shared | {k: r[k] for k in PARAMETERS[1:]}) for r in rows]
+    strategy = simulate.Strategy(name="sweep", entry_name="sweep", engine="stub", params=None, entry_predicates=tuple(entry_predicates), exit_predicates=tuple(exit_predicates), empty_exit_closes=empty_exit_closes)
+    groups = -(-len(rows) // TOGETHER)
+    ticks = simulate.decided(metrics, strategy).select(*simulate.Reverting.COLUMNS)
+    dealt = ticks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    key = F.concat_ws("\x1f", F.col("part").cast("string"), "instrument")
+    width = int(metrics.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.select(key.alias("instrument"), *simulate.Reverting.COLUMNS[1:]).repartition(width, "instrument").sortWithinPartitions("instrument", "seq")
+
+    def passes(batches):
+        books: dict[int, tuple] = {}
+        for piece, first, last in runs(batches):
+            part, _, pair = piece.column(0)[0].as_py().partition("\x1f")
+            if first:
+                own = range(int(part) * TOGETHER, min(len(made), (int(part) + 1) * TOGETHER))
+                books = {k: (simulate.Reverting(made[k], pip_size, warmup_s), kernels.Ledger(pip_size, "exit", *made[k].multiples())) for k in own}
+            for k, (source, ledger) in books.items():
+                done = ledger.feed(*source(piece)[1])
+                if last:
+                    done = done + ledger.finish()
+                if done:
+                    columns = [pa.array([k] * len(done), pa.int32()), pa.array([pair] * len(done)), *(pa.array([t[c] for t in done], kind) for c, kind in CLOSED)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["config", "pair", *(c for c, _ in CLOSED)])
+
+    closed = ordered.mapInArrow(passes, "config int, pair string, signal_seq long, exit_us long, pnl_pips double, outcome_label string")
+    named = metrics.sparkSession.createDataFrame([(k, *r) for k, r in enumerate(rows)], "config int, " + configs.select(*PARAMETERS).schema.simpleString()[7:-1].replace(":", " "))
+    return closed.join(F.broadcast(named), "config").drop("config")
+
+
+CLOSED = (("signal_seq", pa.int64()), ("exit_us", pa.int64()), ("pnl_pips", pa.float64()), ("outcome_label", pa.string()))
 
 
 def summary(trades: DataFrame) -> DataFrame:
