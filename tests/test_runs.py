@@ -6,6 +6,8 @@ import csv
 import json
 import math
 from datetime import datetime
+from pathlib import Path
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 from test_config import STRATEGY, written
 
 from tickspark.errors import FeedError
+from tickspark.files import Files
 from tickspark.functions import performance as perf
 from tickspark.functions import stratify as strat
 from tickspark.operators import engines, kernels
-from tickspark.plans import run, sweep_files
+from tickspark.plans import charts, run, sweep_files
 from tickspark.sources import ticks as source
 from tickspark.sources import trades as ledgers
 from tickspark.streaming import live
@@ -80,6 +83,26 @@ def test_slice(spark, tmp_path):
     assert source.shards_between([(2014, 12), (2015, 1), (2015, 2)], a, b) == [(2015, 1)]
 
 
+@pytest.mark.parametrize("unit", ["ns", "us"])
+def test_bounds_reach_the_scan(spark, tmp_path, unit):
+    path = shard(tmp_path, unit=unit)
+    a, b = datetime(2015, 1, 5, 0, 5), datetime(2015, 1, 5, 0, 10)
+    whole = source.read_shards(spark, [str(path)])
+    part = source.read_shards(spark, [str(path)], a, b)
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, source.time_slice(whole, a, b).collect()))
+    plan = part._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "GreaterThanOrEqual(timestamp" in pushed and "LessThanOrEqual(timestamp" in pushed
+
+
+def test_slices_open_only_their_months(spark, tmp_path):
+    shard(tmp_path)
+    got = source.read_slice(spark, str(tmp_path), "EURUSD", [(2014, 12), (2015, 1), (2015, 2)], datetime(2015, 1, 5, 0, 5), datetime(2015, 1, 5, 0, 10))
+    assert got.count() > 0
+    with pytest.raises(FeedError):
+        source.read_slice(spark, str(tmp_path), "EURUSD", [(2015, 1)], datetime(2016, 1, 1), datetime(2016, 1, 2))
+
+
 def test_run_analysis_and_stratification(spark, tmp_path):
     shard(tmp_path / "data")
     path = config(tmp_path, pairs=["eurusd", "gbpusd"])
@@ -103,6 +126,48 @@ def test_run_analysis_and_stratification(spark, tmp_path):
     one = ledgers.pick(trades, seed=3)
     window = ledgers.around(source.read_shards(spark, [str(tmp_path / "data/EURUSD/EURUSD_2015-01.parquet")]), one)
     assert window.count() > 2
+    drawn = charts.trade(tmp_path / "trade.svg", window, one.first())
+    for path, marks in ((drawn, 2), (folder / "output/EURUSD/analysis/equity.svg", 0), *((p, 0) for p in (folder / "output/EURUSD/analysis/metric_stratification/plots/scott").glob("*.svg"))):
+        root = ElementTree.parse(path).getroot()
+        assert root.tag.endswith("svg") and len(root.findall("{*}circle")) == marks and root.findall("{*}polyline")
+    assert "equity.svg" in (folder / "output/EURUSD/analysis/report.md").read_text()
+
+
+def test_profile_is_kept(spark, tmp_path):
+    import pstats
+
+    shard(tmp_path / "data", n=120)
+    made = run.run_backtest(spark, config(tmp_path), run_id="p", log_level="WARNING", profile=True)
+    folder = Path(made["output_root"]).parent / "profile"
+    assert pstats.Stats(str(folder / "driver.prof")).total_calls > 0 and "MapInArrow" in (folder / "plan.txt").read_text()
+    assert json.loads((folder / "stages.json").read_text())["stages"]
+
+
+def test_thinned_curve(spark):
+    rows = spark.range(1, 5001).select(F.lit("P").alias("pair"), F.col("id").alias("n"), F.col("id").cast("double").alias("place"), (F.col("id") * 2.0).alias("v"))
+    got = charts.thinned(rows, "place", "v", most=100).collect()
+    assert len(got) == 100 and got[-1].v == 10_000.0 and got[0].v == 100.0
+    assert charts.thinned(rows.limit(30), "place", "v", most=100).count() == 30
+
+
+def test_files(spark, tmp_path):
+    files = Files(spark)
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x").write_text("1")
+    (tmp_path / "b").mkdir()
+    files.move(f"file://{tmp_path}/a", str(tmp_path / "b"))
+    assert files.listed(str(tmp_path / "b")) == ["x"] and not files.exists(str(tmp_path / "a"))
+    files.delete(str(tmp_path / "b"))
+    assert not files.exists(f"file://{tmp_path}/b")
+
+
+def test_broken_shard_in_the_audit(spark, tmp_path):
+    good = shard(tmp_path)
+    bad = tmp_path / "bad.parquet"
+    bad.write_text("nothing")
+    facts = run.shard_facts(spark, [str(good), str(bad)])
+    assert facts[str(good)]["rows"] > 0 and facts[str(good)]["sha256"] == run.sha256(good)
+    assert facts[str(bad)]["rows"] is None and facts[str(bad)]["error"].startswith("metadata_error") and facts[str(bad)]["sha256"] == run.sha256(bad)
 
 
 def test_two_runs_agree(spark, tmp_path):

@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("--block-seconds", type=float)
     c.add_argument("--documented-exit", action="store_true", help="an exit without predicates never closes")
     c.add_argument("--explain", action="store_true")
+    c.add_argument("--profile", action="store_true", help="write calls, plan and stage times into the run's folder")
     c.add_argument("--no-analysis", action="store_true")
     c = commands.add_parser("analyse", help="performance of a ledger")
     c.add_argument("trades")
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = session()
     if a.command == "run":
-        made = run.run_backtest(spark, a.config, output_root=a.output_root, run_id=a.run_id, log_level=a.log_level, block_s=a.block_seconds, empty_exit_closes=not a.documented_exit, explain=a.explain)
+        made = run.run_backtest(spark, a.config, output_root=a.output_root, run_id=a.run_id, log_level=a.log_level, block_s=a.block_seconds, empty_exit_closes=not a.documented_exit, explain=a.explain, profile=a.profile)
         print(json.dumps({k: made.get(k) for k in ("run_id", "status", "outputs", "pair_failures")}, indent=2, default=str))
         if not a.no_analysis:
             from pathlib import Path

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterable, Mapping
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
@@ -36,16 +37,22 @@ def formatted(figures: Mapping) -> list[tuple[str, str]]:
     return [(label, shown(figures.get(key), kind)) for label, key, kind in LINES]
 
 
-def performance_report(path: Path, trades: str, figures: Mapping) -> Path:
+def _link(chart: Path | None, path: Path, what: str) -> list[str]:
+    """Lines that show a chart in a report, by a path relative to it."""
+    return ["", f"![{what}]({os.path.relpath(chart, path.parent)})"] if chart else []
+
+
+def performance_report(path: Path, trades: str, figures: Mapping, chart: Path | None = None) -> Path:
     lines = ["# Trade Performance Report", "", f"**Trades file:** `{trades}`", f"**Trade count:** {figures['total_trades']:,}", "", "## Key Metrics", ""]
     lines += [f"- **{label}:** {text}" for label, text in formatted(figures)]
+    lines += _link(chart, path, "Equity curve")
     lines += ["", "## Notes", "", "- Per-trade Sharpe takes each trade as one observation; the daily figure takes the equity at the end of each day, over 252 days a year."]
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines) + "\n")
     return path
 
 
-def stratification_report(folder: Path, mode: str, metrics: Iterable[str], rows: Iterable[Mapping], about: Mapping[str, str] | None = None) -> Path:
+def stratification_report(folder: Path, mode: str, metrics: Iterable[str], rows: Iterable[Mapping], about: Mapping[str, str] | None = None, charts: Mapping[str, Path] | None = None) -> Path:
     """One report per binning mode: a table of bins for each metric."""
     names = list(metrics)
     if not names:
@@ -59,6 +66,7 @@ def stratification_report(folder: Path, mode: str, metrics: Iterable[str], rows:
         lines += ["", f"## `{name}` ({mode})", "", "| bin | count | avg pnl | 95 % low | 95 % high | win rate |", "|-|-|-|-|-|-|"]
         num = lambda x: "" if x is None else f"{x:.4g}"
         lines += [f"| ({r['bin_left_label']:g}, {r['bin_right_label']:g}] | {r['count']} | {num(r['avg_pnl'])} | {num(r['ev_lo'])} | {num(r['ev_hi'])} | {num(r['win_rate'])} |" for r in grouped[name]]
+        lines += _link((charts or {}).get(name), folder / "report.md", f"Bins of {name}")
     path = folder / f"metric_report_{mode}.md"
     folder.mkdir(parents=True, exist_ok=True)
     path.write_text("\n".join(lines) + "\n")

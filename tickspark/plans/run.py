@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from tickspark import logs
 from tickspark.config import BacktestConfig, backtest_config, metrics_config
 from tickspark.errors import ConfigError, FeedError
+from tickspark.files import Files, arrow_filesystem
 from tickspark.functions import performance as perf
 from tickspark.functions import stratify as strat
 from tickspark.operators import simulate, validate
 from tickspark.operators.metrics import add_metrics
-from tickspark.plans import report
+from tickspark.plans import charts, report
 from tickspark.session import prepare
 from tickspark.sources import trades as ledgers
 from tickspark.sources.ticks import months, read_shards, shard_path, shard_paths
@@ -51,26 +52,43 @@ def snapshot(path: Path, folder: Path) -> dict:
     return {"source": str(path.resolve()), "path": str(copy), "sha256": sha256(copy), "schema_version": content.get("schema_version") if isinstance(content, dict) else None}
 
 
+def shard_facts(spark: SparkSession, paths: list[str]) -> dict[str, dict]:
+    """Rows, SHA-256 and error by path: executors read each file in pieces of some megabytes."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                digest, rows, error = hashlib.sha256(), None, None
+                try:
+                    fs, at = arrow_filesystem(path)
+                    with fs.open_input_file(at) as file:
+                        while piece := file.read(8 << 20):
+                            digest.update(piece)
+                        rows = pq.ParquetFile(file).metadata.num_rows
+                except Exception as wrong:
+                    error = f"metadata_error: {wrong}"
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()]), pa.array([rows], pa.int64()), pa.array([error], pa.string())], names=["path", "sha256", "rows", "error"])
+
+    if not paths:
+        return {}
+    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths), "path")
+    return {r.path: r.asDict() for r in listed.mapInArrow(run, "path string, sha256 string, rows long, error string").collect()}
+
+
 def shard_audit(spark: SparkSession, config: BacktestConfig) -> list[dict]:
-    """Rows, SHA-256 and errors of every input shard: hashes and counts are made by the executors, file by file."""
+    """Rows, SHA-256 and errors of every input shard."""
     wanted = months(config.start[0], config.end[0], config.start[1], config.end[1])
     shards = [{"pair": p, "year_month": f"{y}-{m:02d}", "path": shard_path(str(config.data_base_path), p, y, m)} for p in config.pairs for y, m in wanted]
-    there = [s["path"] for s in shards if Path(s["path"]).exists()]
-    hashes, rows = {}, {}
-    if there:
-        name = F.regexp_replace("path", "^file:/*", "/")
-        hashes = {r.p: r.h for r in spark.read.format("binaryFile").load(there).select(name.alias("p"), F.sha2("content", 256).alias("h")).collect()}
+    files = Files(spark)
+    facts = shard_facts(spark, [s["path"] for s in shards if files.exists(s["path"])])
     for s in shards:
-        s["rows"], s["sha256"] = None, hashes.get(s["path"])
-        if s["path"] not in there:
-            s["errors"] = ["missing_file"]
-            continue
-        try:
-            import pyarrow.parquet as pq
-
-            rows[s["path"]] = s["rows"] = pq.ParquetFile(s["path"]).metadata.num_rows
-        except Exception as wrong:
-            s["errors"] = [f"metadata_error: {wrong}"]
+        found = facts.get(s["path"])
+        s["rows"], s["sha256"] = (found["rows"], found["sha256"]) if found else (None, None)
+        if not found or found["error"]:
+            s["errors"] = [found["error"] if found else "missing_file"]
     return shards
 
 
@@ -99,11 +117,12 @@ def simulate_all(spark: SparkSession, config: BacktestConfig, block_s: float | N
     return simulate.run_strategy(metrics, config.strategy, config.pip_size, config.warmup_seconds), audited, failures
 
 
-def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: str | Path | None = None, run_id: str | None = None, log_level: str = "INFO", block_s: float | None = None, empty_exit_closes: bool = True, explain: bool = False) -> dict:
+def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: str | Path | None = None, run_id: str | None = None, log_level: str = "INFO", block_s: float | None = None, empty_exit_closes: bool = True, explain: bool = False, profile: bool = False) -> dict:
     """Run a configuration and write {root}/{run}/output/{pair}/trades.parquet, logs, configuration copies and manifest.json.
 
     A pair without trades gets no file. A pair whose data are missing or broken is recorded in pair_failures; the
-    others run. If one pair breaks the common plan, pairs run one by one, so that only it fails.
+    others run. If one pair breaks the common plan, pairs run one by one, so that only it fails. With profile, the run's
+    folder gets profile/driver.prof (calls of the driver's Python, for pstats), plan.txt and stages.json.
     """
     prepare(spark)
     run_id = run_id or logs.new_run_id()
@@ -123,11 +142,14 @@ def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: s
     }
     write = lambda: (folder / "manifest.json").write_text(json.dumps(manifest, indent=2, default=str))
     write()
+    profiler = Profiler(spark, folder / "profile") if profile else None
     try:
         trades, audited, failures = simulate_all(spark, config, block_s)
         if trades is not None:
             if explain:
                 trades.explain("formatted")
+            if profiler:
+                profiler.plan(trades)
             written, broken = _write(spark, config, trades, audited, out, failures, block_s)
             manifest |= written
             failures |= broken
@@ -137,6 +159,8 @@ def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: s
         logger.exception("run failed")
         raise
     finally:
+        if profiler:
+            profiler.close()
         try:
             environment(folder / "environment.txt")
         except Exception:
@@ -145,6 +169,31 @@ def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: s
     return manifest
 
 
+class Profiler:
+    """Calls of the driver's Python, the plan, and the seconds of every job and stage that ran meanwhile."""
+
+    def __init__(self, spark: SparkSession, folder: Path) -> None:
+        import cProfile
+
+        self.spark, self.folder, self.calls, self.begin = spark, folder, cProfile.Profile(), datetime.now(UTC)
+        folder.mkdir(parents=True, exist_ok=True)
+        self.calls.enable()
+
+    def plan(self, df: DataFrame) -> None:
+        (self.folder / "plan.txt").write_text(df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+
+    def close(self) -> None:
+        self.calls.disable()
+        self.calls.dump_stats(self.folder / "driver.prof")
+        store, begin, stages = self.spark.sparkContext._jsc.sc().statusStore(), self.begin.timestamp() * 1000, []
+        listed = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        for k in range(listed.size()):
+            s = listed.apply(k)
+            if s.submissionTime().isDefined() and s.submissionTime().get().getTime() >= begin:
+                stages.append({"stage": s.stageId(), "name": s.name(), "tasks": s.numTasks(), "seconds": s.executorRunTime() / 1000, "shuffle_read": s.shuffleReadBytes(), "shuffle_write": s.shuffleWriteBytes(), "spilled": s.diskBytesSpilled()})
+        (self.folder / "stages.json").write_text(json.dumps({"seconds": (datetime.now(UTC) - self.begin).total_seconds(), "stages": stages}, indent=2))
+
+
 def _write(spark, config, trades, audited, out: Path, failures: dict, block_s) -> tuple[dict, dict]:
     """Write each pair's ledger; (outputs and validation for the manifest, further failures)."""
     pairs, broken = [p for p in config.pairs if p not in failures], {}
@@ -168,15 +217,13 @@ def _write(spark, config, trades, audited, out: Path, failures: dict, block_s) -
 
 
 def _split(trades: DataFrame, out: Path) -> None:
-    """One {pair}/trades.parquet each, from one partitioned write."""
-    stage = out / "_stage"
-    trades.withColumn("__pair", F.col("pair")).write.mode("overwrite").partitionBy("__pair").parquet(str(stage))
-    for part in stage.glob("__pair=*"):
-        target = out / part.name.partition("=")[2]
-        target.mkdir(parents=True, exist_ok=True)
-        shutil.rmtree(target / "trades.parquet", ignore_errors=True)
-        part.rename(target / "trades.parquet")
-    shutil.rmtree(stage)
+    """One {pair}/trades.parquet each, from one partitioned write; moved through the file system that Spark writes to."""
+    files, stage = Files(trades.sparkSession), f"{out}/_stage"
+    trades.withColumn("__pair", F.col("pair")).write.mode("overwrite").partitionBy("__pair").parquet(stage)
+    for name in files.listed(stage):
+        if name.startswith("__pair="):
+            files.move(f"{stage}/{name}", f"{out}/{name.partition('=')[2]}/trades.parquet")
+    files.delete(stage)
 
 
 @dataclass
@@ -192,7 +239,17 @@ def run_trade_analysis(spark: SparkSession, trades_path: str | Path, report_path
         df = df.withColumn("pair", F.lit(Path(trades_path).parent.name))
     figures = perf.performance(df.withColumn("pair", F.lit("all"))).first().asDict()
     path = Path(report_path) if report_path else Path(trades_path).with_name(Path(trades_path).stem + "_report.md")
-    return TradeAnalysis(figures, report.performance_report(path, str(trades_path), figures))
+    charts_of = _equity_charts(df.withColumn("pair", F.lit("all")), {"all": path.with_name(path.stem + "_equity.svg")})
+    return TradeAnalysis(figures, report.performance_report(path, str(trades_path), figures, charts_of.get("all")))
+
+
+def _equity_charts(trades: DataFrame, paths: dict[str, Path]) -> dict[str, Path]:
+    """An equity chart per pair, of at most a thousand points each."""
+    points: dict[str, list] = {}
+    curve = perf.equity_curve(trades).withColumn("place", F.col("n").cast("double"))
+    for r in charts.thinned(curve, "place", "cumulative_pnl").collect():
+        points.setdefault(r.pair, []).append((r.place, r.cumulative_pnl))
+    return {p: charts.equity(paths[p], f"Cumulative result in pips over trades: {p}", own) for p, own in points.items() if p in paths}
 
 
 @dataclass
@@ -217,9 +274,10 @@ def run_backtest_analysis(spark: SparkSession, run_folder: str | Path) -> Analys
             done.failures[p] = str(wrong)
     if good:
         rows = ledgers.discover(spark, out).filter(F.col("pair").isin(list(good)))
+        drawn = _equity_charts(rows, {p: out / p / "analysis" / "equity.svg" for p in good})
         for r in perf.performance(rows).collect():
             done.figures[r.pair] = r.asDict()
-            done.reports[r.pair] = report.performance_report(out / r.pair / "analysis" / "report.md", str(good[r.pair]), r.asDict())
+            done.reports[r.pair] = report.performance_report(out / r.pair / "analysis" / "report.md", str(good[r.pair]), r.asDict(), drawn.get(r.pair))
     return done
 
 
@@ -242,11 +300,16 @@ def run_metric_stratification(spark: SparkSession, trades_path: str | Path | Dat
     table.drop("min_count").repartition(1, "mode", "metric").sortWithinPartitions("mode", "metric", "bin").write.mode("overwrite").partitionBy("mode", "metric").csv(str(csv), header=True)
     rows = [r.asDict() for r in table.orderBy("mode", "metric", "bin").collect()]  # at most 400 bins per metric and mode
     overall = strat.overall(trades, names).first().asDict()
-    reports, first = {}, {}
+    reports, first, shown, drawn = {}, {}, {}, {}
+    for r in strat.plot_rows(table).orderBy("bin").collect():  # at most 400 bins per metric and mode
+        shown.setdefault((r["mode"], r["metric"]), []).append(r)
+    for (mode, metric), own in shown.items():
+        name = "".join(c if c.isalnum() or c in "._-" else "_" for c in metric)
+        drawn[mode, metric] = charts.bins(root / "plots" / mode / f"{name}.svg", f"{metric} ({mode})", own)
     for mode in modes:
         own = [r for r in rows if r["mode"] == mode]
         if own:
-            reports[mode] = report.stratification_report(root / "reports", mode, sorted({r["metric"] for r in own}), own, {"Backtest": backtest_identifier(root)})
+            reports[mode] = report.stratification_report(root / "reports", mode, sorted({r["metric"] for r in own}), own, {"Backtest": backtest_identifier(root)}, {m: p for (k, m), p in drawn.items() if k == mode})
         for r in own:
             first.setdefault(r["metric"], mode)
     return StratificationSummary(overall, {m: [r for r in rows if r["metric"] == m and r["mode"] == mode] for m, mode in first.items()}, reports, csv if rows else None)
