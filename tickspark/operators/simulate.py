@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tickspark.operators import kernels
 from tickspark.operators.arrow import map_arrow, numpy_of, runs
-from tickspark.operators.engines import META, StubParams, ThresholdReversionParams, arrival, in_order
-from tickspark.operators.predicates import Predicate, all_hold
+from tickspark.operators.engines import META, EwmaCrossoverParams, StubParams, ThresholdReversionParams, arrival, in_order
+from tickspark.operators.predicates import Predicate, all_hold, number
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -82,7 +82,7 @@ class Reverting:
     def __init__(self, params, pip_size: float, warmup_s: float) -> None:
         self.machine = kernels.Reversion(params.lookback_seconds, params.threshold_pips, params.tp_pips, params.sl_pips, pip_size, params.min_recency_seconds, params.trade_timeout_seconds)
         self.timeout = params.trade_timeout_seconds or math.nan
-        self.warm_us, self.begin, self.live = max(0.0, warmup_s) * 1e6, None, False
+        self.warm = WarmUp(warmup_s)
 
     def __call__(self, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
         seq, ts, mid, entry_ok, exit_ok = (numpy_of(piece, c) for c in self.COLUMNS[1:])
@@ -93,15 +93,53 @@ class Reverting:
         direction[at] = fields["position"].astype(np.int32)
         opens[at] = entry_ok[at]  # a blocked edge is used up
         metas = {f"meta_{x}": pa.array(spread(fields[x])) for x in META["threshold_reversion"]}
-        start = 0
-        if not self.live:
-            self.begin = ts[0] if self.begin is None else self.begin
-            reached = np.flatnonzero(ts - self.begin >= self.warm_us)
-            self.live, start = len(reached) > 0, int(reached[0]) + 1 if len(reached) else n
+        start = self.warm(ts)
         fed = [seq, ts, mid, opens, direction, spread(fields["tp_price"]), spread(fields["sl_price"]), np.full(n, self.timeout), np.full(n, self.machine.threshold), exit_ok]
         return pa.RecordBatch.from_arrays([*piece.columns, *metas.values()], names=[*piece.schema.names, *metas]), [v[start:] for v in fed]
 
 
+class Crossing:
+    """Signals of one instrument where fast - slow changes sign; the last difference and the warm-up are carried between pieces."""
+
+    COLUMNS = ("instrument", "seq", "ts_us", "mid", "entry_ok", "exit_ok", "meta_fast", "meta_slow")
+
+    def __init__(self, params, pip_size: float, warmup_s: float) -> None:
+        self.params, self.pip, self.warm, self.last = params, pip_size, WarmUp(warmup_s), math.nan
+
+    def __call__(self, piece: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        seq, ts, mid, entry_ok, exit_ok, fast, slow = (numpy_of(piece, c) for c in self.COLUMNS[1:])
+        n, p = len(seq), self.params
+        with np.errstate(invalid="ignore"):
+            diff = np.where(np.isfinite(fast) & np.isfinite(slow), fast - slow, np.nan)
+        before = np.concatenate(([self.last], diff[:-1]))
+        self.last = diff[-1]
+        direction = np.zeros(n, np.int32)
+        if p.short_on_cross:
+            direction[(diff <= 0) & (before > 0)] = -1
+        if p.long_on_cross:
+            direction[(diff >= 0) & (before < 0)] = 1
+        level = lambda pips, sign: np.where((direction != 0) & (pips > 0), mid + sign * direction * pips * self.pip, np.nan)
+        opens = (direction != 0) & entry_ok
+        start = self.warm(ts)
+        fed = [seq, ts, mid, opens, direction, level(p.tp_pips, 1), level(p.sl_pips, -1), np.full(n, p.trade_timeout_seconds or math.nan), np.full(n, math.nan), exit_ok]
+        return pa.RecordBatch.from_arrays([*piece.columns, pa.array(diff, from_pandas=True)], names=[*piece.schema.names, "meta_diff"]), [v[start:] for v in fed]
+
+
+class WarmUp:
+    """Finds the first live tick of pieces: the one after the first that is warmup_s or more after the instrument's first."""
+
+    def __init__(self, warmup_s: float) -> None:
+        self.warm_us, self.begin, self.live = max(0.0, warmup_s) * 1e6, None, False
+
+    def __call__(self, ts: np.ndarray) -> int:
+        if self.live:
+            return 0
+        self.begin = ts[0] if self.begin is None else self.begin
+        reached = np.flatnonzero(ts - self.begin >= self.warm_us)
+        self.live = len(reached) > 0
+        return int(reached[0]) + 1 if self.live else len(ts)
+
+
 def _put(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.full(n, math.nan)
     out[at] = values
@@ -180,14 +218,17 @@ def decided(metrics: DataFrame, strategy: Strategy) -> DataFrame:
 
 
 def run_strategy(metrics: DataFrame, strategy: Strategy, pip_size: float, warmup_s: float) -> DataFrame:
-    """The ledger of a strategy: signals() then trades(), the reversion engine with both in one pass over the ordered ticks."""
-    captured = [c for c in metrics.columns if "." in c]
-    if isinstance(strategy.params, ThresholdReversionParams):
-        params = strategy.params
-        needed = in_order(decided(metrics, strategy).select(*Reverting.COLUMNS, *[f"`{c}`" for c in captured]))
-        metas = [f"meta_{x}" for x in META["threshold_reversion"]]
+    """The ledger of a strategy: the engines of the library with signals and ledger in one pass over the ordered ticks, others by signals() and trades()."""
+    captured, params = [c for c in metrics.columns if "." in c], strategy.params
+    source = {ThresholdReversionParams: Reverting, EwmaCrossoverParams: Crossing}.get(type(params))
+    if source is not None:
+        told = decided(metrics, strategy)
+        if source is Crossing:
+            told = told.withColumns({f"meta_{x}": number(name, metrics.schema) for x, name in (("fast", params.fast_metric), ("slow", params.slow_metric))})
+        needed = in_order(told.select(*source.COLUMNS, *[f"`{c}`" for c in captured]))
+        metas = [f"meta_{x}" for x in META[strategy.engine]]
         kinds = {f.name: f.dataType.simpleString() for f in metrics.schema.fields} | dict.fromkeys(metas, "double")
-        return _told(needed, lambda: Reverting(params, pip_size, warmup_s), strategy, pip_size, captured, metas, kinds)
+        return _told(needed, lambda: source(params, pip_size, warmup_s), strategy, pip_size, captured, metas, kinds)
     return trades(signals(metrics, strategy, pip_size, warmup_s), strategy, pip_size, captured)
 
 

@@ -288,6 +288,12 @@ def oracle_sql() -> dict[str, str]:
         "metric_threshold_reversion": METRIC_REVERSION,
         "trades_reversion": TRADES_REVERSION,
         "performance": PERFORMANCE,
+        "ledger_discovery": f"WITH {LEDGER} SELECT pair, signal_seq, entry_us, exit_us, round(pnl_pips, 6) AS pnl_pips, outcome_label FROM e",
+        "ledger_loading": f"WITH {LEDGER} SELECT pair, signal_seq, exit_us, round(v1, 6) AS m_value, round(v2, 6) AS m_other FROM e WHERE pair = 'error'",
+        "trade_window": f"""WITH {TICKS}, {LEDGER.replace("e AS (", "lg AS (", 1)},
+            p AS (SELECT entry_us, exit_us, greatest(exit_us - entry_us, {6 * H}::BIGINT * 1000000) AS pad FROM lg WHERE pair = 'purchase' ORDER BY exit_us LIMIT 1 OFFSET 99)
+            SELECT instrument, seq, ts_us, round(mid, 6) AS mid FROM t, p WHERE instrument = 'purchase' AND ts_us BETWEEN entry_us - pad AND exit_us + pad""",
+        "runs_agree": f"SELECT count(*) AS trades, CAST(1 AS BIGINT) AS different FROM ({TRADES_CROSSOVER})",
         "equity_curve": EQUITY,
         "outcomes": OUTCOMES,
         "stratify": STRATIFY,

@@ -13,13 +13,16 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.files import Files
 from tickspark.functions import performance as perf
 from tickspark.functions import stratify as strat
 from tickspark.operators import engines, simulate, validate
 from tickspark.operators.metrics import add_metrics, make_metric
 from tickspark.operators.predicates import Predicate, all_hold, holds
 from tickspark.plans import sweep
+from tickspark.plans.run import fingerprint
 from tickspark.session import prepare
+from tickspark.sources import trades as ledgers
 from tickspark.sources.ticks import from_events, read_shards, read_slice, shard_path, shard_paths, with_mid
 
 H = 3600
@@ -216,8 +219,7 @@ def q_slice(spark, sf_dir):
 
 def written_shards(spark, sf_dir) -> str:
     """The events as monthly shards per instrument, quotes as 32-bit floats, in the folder that executors share (a local one where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
-    base = f"{shared.rstrip('/')}/shards-{uuid.uuid4().hex}"
+    base = scratch(spark, "shards")
     quotes = ticks(spark, sf_dir).select("instrument", "seq", F.col("ts").alias("timestamp"), F.col("bid").cast("float").alias("bid"), F.col("ask").cast("float").alias("ask"))
     for name in PAIRS:
         one = quotes.filter(F.col("instrument") == name).orderBy("seq").select("timestamp", "bid", "ask")
@@ -229,6 +231,50 @@ def written_shards(spark, sf_dir) -> str:
 PAIRS, MONTH = ("click", "error", "purchase", "signup", "view"), (2024, 1)
 
 
+def scratch(spark, what: str) -> str:
+    """A new path in the folder that executors share (a local one where none is set)."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
+    return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def written_ledgers(spark, sf_dir) -> str:
+    """The output folder of a run whose pairs' ledgers are sample_trades()."""
+    out = scratch(spark, "run") + "/output"
+    sample_trades(spark, sf_dir).withColumn("__pair", F.col("pair")).write.partitionBy("__pair").parquet(f"{out}/_stage")
+    files = Files(spark)
+    for name in PAIRS:
+        files.move(f"{out}/_stage/__pair={name}", f"{out}/{name}/trades.parquet")
+    files.delete(f"{out}/_stage")
+    return out
+
+
+def q_discovered(spark, sf_dir):
+    """All ledgers below a run's folder, found by name, as one table."""
+    rows = ledgers.discover(prepare(spark), written_ledgers(spark, sf_dir))
+    return rows.select("pair", "signal_seq", F.unix_micros("entry_time").alias("entry_us"), F.unix_micros("exit_time").alias("exit_us"), r("pnl_pips"), "outcome_label")
+
+
+def q_loaded(spark, sf_dir):
+    """One pair's ledger, checked and in order of exit, with the columns of the metric m."""
+    t = ledgers.load_trades(prepare(spark), f"{written_ledgers(spark, sf_dir)}/{PAIRS[1]}/trades.parquet")
+    return t.select("pair", "signal_seq", F.unix_micros("exit_time").alias("exit_us"), *[r(c) for c in strat.metric_columns(t, ["m"])])
+
+
+def q_picked(spark, sf_dir):
+    """The hundredth trade by exit, with the ticks around it."""
+    one = ledgers.pick(sample_trades(spark, sf_dir).filter(F.col("pair") == PAIRS[2]), index=99)
+    return ledgers.around(ticks(spark, sf_dir), one, least_padding_s=6 * H).select("instrument", "seq", "ts_us", F.round("mid", 6).alias("mid"))
+
+
+def q_runs_agree(spark, sf_dir):
+    """Order-free digests of two runs of one ledger, the second from reshuffled ticks: equal ones are one row."""
+    prints = []
+    for width in (3, 7):
+        t = simulate.run_strategy(averaged(spark, sf_dir).repartition(width), CROSSOVER, 1.0, 86_400.0)
+        prints.append(fingerprint(t))
+    return spark.createDataFrame([(p.split(":")[0], len(set(prints))) for p in set(prints)], "trades string, different long").select(F.col("trades").cast("long").alias("trades"), "different")
+
+
 def shard_columns(t: DataFrame) -> DataFrame:
     return t.select("instrument", "seq", "ts_us", F.round("bid", 6).alias("bid"), F.round("ask", 6).alias("ask"), F.round("mid", 6).alias("mid"))
 
@@ -251,6 +297,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "time_slice": q_slice,
         "shard_ticks": q_shards,
         "shard_slice": q_shard_slice,
+        "ledger_discovery": q_discovered,
+        "ledger_loading": q_loaded,
+        "trade_window": q_picked,
+        "runs_agree": q_runs_agree,
         "validate": q_validate,
         "validation_tally": q_tally,
         "metric_ewma": metric_query(("e", "ewma", {"tau_seconds": 2 * H}), ("b", "ewma", {"tau_seconds": 5 * H, "price_field": "BID"})),

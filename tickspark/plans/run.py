@@ -212,7 +212,7 @@ def _write(spark, config, trades, audited, out: Path, failures: dict, block_s) -
                 _split(one, out)
             except Exception as own:
                 broken[p] = str(own)
-    found = ledgers.discover_paths(out)
+    found = ledgers.discover_paths(spark, out)
     return {"outputs": {p: {"trades": str(found[p]), "sha256": None} if p in found else {"trades": None} for p in pairs}, "validation": stats}, broken
 
 
@@ -264,7 +264,7 @@ class AnalysisSummary:
 def run_backtest_analysis(spark: SparkSession, run_folder: str | Path) -> AnalysisSummary:
     """Performance of every pair of a run: one job for all pairs, then a report each."""
     out, done = Path(run_folder) / "output", AnalysisSummary()
-    found = ledgers.discover_paths(out)
+    found = ledgers.discover_paths(spark, out)
     good = {}
     for p, path in found.items():
         try:
@@ -321,7 +321,7 @@ def run_metric_stratification_analysis(spark: SparkSession, run_folder: str | Pa
     manifest = json.loads((folder / "manifest.json").read_text())
     enabled = [m.name for m in metrics_config(manifest["configs"]["metrics"]["path"]) if m.enabled]
     out: dict[str, StratificationSummary | str] = {}
-    for p, path in ledgers.discover_paths(folder / "output").items():
+    for p, path in ledgers.discover_paths(spark, folder / "output").items():
         try:
             trades = ledgers.load_trades(spark, str(path))
             out[p] = run_metric_stratification(spark, trades, folder / "output" / p / "analysis" / "metric_stratification", strat.metric_columns(trades, enabled), modes, min_count)

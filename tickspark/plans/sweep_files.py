@@ -60,7 +60,7 @@ def run_all(spark: SparkSession, manifest: str | Path, backtest_config: str | Pa
 
 def summarise(spark: SparkSession, manifest: str | Path, output_root: str | Path) -> DataFrame:
     """Trades and mean result per configuration and pair of the runs that have ledgers, one job for all."""
-    paths = [str(p) for label in (r["label"] for r in csv.DictReader(Path(manifest).open())) for p in ledgers.discover_paths(Path(output_root) / label / "output").values()]
+    paths = [str(p) for label in (r["label"] for r in csv.DictReader(Path(manifest).open())) for p in ledgers.discover_paths(spark, Path(output_root) / label / "output").values()]
     if not paths:
         raise FileNotFoundError("no completed runs")
     rows = spark.read.option("mergeSchema", "true").parquet(*paths)

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.files import Files
 from tickspark.sources.ticks import whole_micros
 
 REQUIRED = ("entry_time", "exit_time", "pnl_pips")
@@ -17,7 +18,7 @@ NOT_PAIRS = ("logs", "analysis")
 
 def load_trades(spark: SparkSession, path: str) -> DataFrame:
     """A ledger in order of exit; a missing file, a missing column or an empty table is an error. Times that do not parse are null."""
-    if "://" not in str(path) and not Path(path).exists():
+    if not Files(spark).exists(str(path)):
         raise FileNotFoundError(f"Trades file not found: {path}")
     df = spark.read.parquet(str(path))
     if missing := sorted(set(REQUIRED) - set(df.columns)):
@@ -31,17 +32,19 @@ def load_trades(spark: SparkSession, path: str) -> DataFrame:
 
 def discover(spark: SparkSession, root: str | Path) -> DataFrame:
     """All ledgers below a run's output folder as one table, pair from the folder name where the rows lack it."""
-    found = discover_paths(root)
+    found = discover_paths(spark, root)
     if not found:
         raise FileNotFoundError(f"no trades below {root}")
-    df = spark.read.option("mergeSchema", "true").parquet(*[str(p) for p in found.values()])
+    df = spark.read.option("mergeSchema", "true").parquet(*found.values())
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/trades\.parquet", 1)
     return df.withColumn("pair", F.coalesce("pair", folder) if "pair" in df.columns else folder)
 
 
-def discover_paths(root: str | Path) -> dict[str, Path]:
-    """pair -> ledger below a run's output folder."""
-    return {p.parent.name: p for p in sorted(Path(root).glob("*/trades.parquet")) if p.parent.name not in NOT_PAIRS}
+def discover_paths(spark: SparkSession, root: str | Path) -> dict[str, str]:
+    """pair -> ledger below a run's output folder, in any file system that Spark reads."""
+    files, base = Files(spark), str(root).rstrip("/")
+    names = [x for x in files.listed(base) if x not in NOT_PAIRS] if files.exists(base) else []
+    return {x: f"{base}/{x}/trades.parquet" for x in names if files.exists(f"{base}/{x}/trades.parquet")}
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
