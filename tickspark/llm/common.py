@@ -4,24 +4,73 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bits of the map that split_by() broadcasts: 16 bytes for each 64 of them, 4 MB at most.
+MAP_BITS = 24
+
+
+#: Rows of an Arrow batch of texts or images, and of narrow rows. Both sides hold a batch whole, so wide rows go in small ones.
+WIDE_ROWS, NARROW_ROWS = 1_000, 10_000
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Arrow batches of the plans that run next hold this many rows; a setting that is neither of the two above is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) in (WIDE_ROWS, NARROW_ROWS):
+        spark.conf.set(key, rows)
+
+
+def lean(run: Callable) -> Callable:
+    """An Arrow pass that gives freed memory back to the system when its partition is done, so that idle workers hold little."""
+
+    def wrapped(batches: Iterable) -> Iterable:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (tests) a fresh local one."""
+    """Folder that driver and executors share: spark.checkpoint.dir, else (local masters, as in tests) a fresh local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Paths of the shared folder that this process has made and not deleted.
+MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, used once."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    MADE.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return MADE[-1]
+
+
+def forget(spark: SparkSession, before: Iterable[str], *kept: str) -> None:
+    """Delete the paths made since `before` (a copy of MADE), but for those kept: what later plans read."""
+    for path in [p for p in MADE if p not in set(before) | set(kept)]:
+        remove(spark, path)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -36,6 +85,24 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def split_by(rows: DataFrame, key: Column, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among hits, rows whose key is not): rows stay where they stand.
+
+    hits has one column, of hashes like key. Its hashes are folded into a map of 2 ** MAP_BITS bits, which is broadcast:
+    a size that does not grow with the data. Every row whose key is a hit is in the first part; the more hits, the more
+    other rows are there too, so the caller still joins that part exactly.
+    """
+    place = lambda c: F.pmod(c, F.lit(1 << MAP_BITS))
+    one = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (c % 64).cast("int"))
+    found = hits.toDF("__hit").select(place(F.col("__hit")).alias("__at"))
+    words = found.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.bit_or(one(F.col("__at"))).alias("__bits"))
+    asked = rows.withColumn("__at", place(key)).withColumn("__word", F.shiftright("__at", 6))
+    told = asked.join(F.broadcast(words), "__word", "left").withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(one(F.col("__at"))) != 0, F.lit(False)))
+    return tuple(told.filter(c).select(*rows.columns) for c in (F.col("__maybe"), ~F.col("__maybe")))
 
 
 def filesystem(uri: str):
@@ -89,17 +156,19 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds over a written edge table: each round is two grouped minima
     with map-side combine and two joins, and the number of rounds grows as the logarithm of the longest chain.
-    Neighbour lists are never gathered, so a hub costs a skewed join (which adaptive execution splits), not a list.
+    Neighbour lists are never gathered, so a hub costs a skewed join, which adaptive execution splits, and not a list.
     Each partition's edges are first reduced to a spanning forest. Loops and repeated edges are ignored.
     """
-    spark = edges.sparkSession
+    spark, made = edges.sparkSession, list(MADE)
+    # written first: what made the edges and the forest pass need not hold their workers at the same time
     now = (
-        edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        written(edges.select("src", "dst"), "links").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         .filter("src > dst")
         .mapInArrow(forest, "src long, dst long")
     )
     path = shared_path(spark, "edges")
     now.write.parquet(path)
+    forget(spark, made, path)
     before = None
     for _ in range(rounds):
         now = spark.read.schema("src long, dst long").parquet(path)
@@ -110,7 +179,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         star = _star(_star(now, larger=True), larger=False)
         following = shared_path(spark, "edges")
         star.write.parquet(following)
-        remove(spark, path)
+        forget(spark, made, following)
         path = following
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -124,7 +193,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         both = edges.union(edges.select("dst", "src")).toDF("u", "v")
     else:
         both = edges.toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that both sides of the join are plain exchanges, whose hot keys adaptive execution splits
+    least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     hung = both.join(least, "u")
     if larger:
         out = hung.filter("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
