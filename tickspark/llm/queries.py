@@ -40,8 +40,7 @@ def op5_bpe_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return bpe.digest(bpe.decode(encoded, ranks))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op6_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
