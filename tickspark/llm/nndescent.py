@@ -4,9 +4,9 @@ Equal vectors collapse to one class. A neighbour graph over the classes starts f
 more of them for a larger table, and is refined by joins of neighbours with neighbours of neighbours, on 8-bit codes.
 Lists that hold nothing but near neighbours are saturated: they are enlarged and refined again until no group grows.
 Query vectors, compared with all rows until enough true links are seen, audit the recall after each search; a low recall
-costs more searches, and one that stays low is an error. Edges near the threshold make
-groups; inside a group every pair of vectors is compared exactly, block by block, and each vector gets the number of
-its links and each block a spanning forest of them, so a large group costs comparisons but never rows.
+costs more searches, and one that stays low has everything compared with everything. Edges near the threshold make groups;
+inside a group every pair of vectors is compared exactly, block by block (a vector goes to as many tasks as its group has
+blocks), and each vector gets the number of its links and each block a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import connected_components, written
+from tickspark.llm.common import MADE, NARROW_ROWS, batch_rows, connected_components, forget, lean, written
 from tickspark.llm.simhash import Links
 
 log = logging.getLogger(__name__)
@@ -31,12 +31,14 @@ MOST_ATTEMPTS = 30
 HUB = 512
 #: 8-bit codes change a cosine by less than this.
 MARGIN = 0.03
+#: Share of the pairs at the threshold that the first graph's orders should bring together.
+MEET = 0.999
 #: The audit asks AUDIT query vectors, then four times as many and so on, until it has seen LINKS true links or asked
-#: MOST_AUDIT vectors (8 sqrt(n) of larger tables). Recall that it asks for, recall below which the search fails, and
-#: extra searches that a low recall may cost.
-AUDIT, LINKS, MOST_AUDIT, RECALL, LEAST_RECALL, TRIES = 256, 200, 2048, 0.98, 0.9, 6
+#: MOST_AUDIT vectors (they go through the driver). Recall that it asks for, and extra searches that a low recall may
+#: cost before everything is compared with everything.
+AUDIT, LINKS, MOST_AUDIT, RECALL, TRIES = 512, 2_000, 8_192, 0.99, 6
 #: Rows of a group that are compared with as many others at once.
-BLOCK = 1024
+BLOCK = 4096
 GRAPH = "id long, nbr long, sim float, old boolean, full boolean"
 
 
@@ -44,19 +46,24 @@ def runs(batches: Iterable, arrays: Callable) -> Iterator[tuple]:
     """Arrays over whole runs of equal keys (arrays(batch)[0]) of a partition sorted by key; several runs at a time."""
     import numpy as np
 
-    held = None
+    held: list[tuple] = []  # parts of the last run
+    join = lambda parts: parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     for batch in batches:
         if not batch.num_rows:
             continue
         new = arrays(batch)
-        held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
-        earlier = np.flatnonzero(held[0] != held[0][-1])
+        keys = new[0]
+        if held and held[0][0][0] != keys[0]:
+            yield join(held)
+            held = []
+        earlier = np.flatnonzero(keys != keys[-1])
         last = int(earlier[-1]) + 1 if len(earlier) else 0
         if last:
-            yield tuple(x[:last] for x in held)
-            held = tuple(x[last:] for x in held)
-    if held is not None:
-        yield held
+            yield join([*held, tuple(x[:last] for x in new)])
+            held = []
+        held.append(tuple(x[last:] for x in new))
+    if held:
+        yield join(held)
 
 
 def bounds(keys) -> list[int]:
@@ -91,7 +98,7 @@ def units(vectors: DataFrame) -> DataFrame:
                 code.append(np.round(v * (127 / np.abs(v).max())).astype(np.int8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dims, pa.int32()), pa.array(unit, pa.binary()), pa.array(code, pa.binary()), batch.column(2), batch.column(3)], names=["cid", "dim", "unit", "code", "copies", "least"])
 
-    return vectors.select("cid", "v", "copies", "least").mapInArrow(run, "cid long, dim int, unit binary, code binary, copies long, least long")
+    return vectors.select("cid", "v", "copies", "least").mapInArrow(lean(run), "cid long, dim int, unit binary, code binary, copies long, least long")
 
 
 def cosines(code):
@@ -121,10 +128,30 @@ def proposals(ids, code, kth, most: int):
     return ids[a], ids[near[a, b]], found[a, b]
 
 
-def _graph_batch(ids, nbrs, sims):
+def nearest(ids, nbrs, sims, old, k: int):
+    """(ids, nbrs, sims, old, full) of the k nearest distinct neighbours of each id; `full` says that the list has k."""
+    import numpy as np
+
+    order = np.lexsort((~old, nbrs, ids))  # a pair's old row first
+    ids, nbrs, sims, old = ids[order], nbrs[order], sims[order], old[order]
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (ids[1:] != ids[:-1]) | (nbrs[1:] != nbrs[:-1])
+    ids, nbrs, sims, old = ids[fresh], nbrs[fresh], sims[fresh], old[fresh]
+    order = np.lexsort((nbrs, -sims, ids))
+    ids, nbrs, sims, old = ids[order], nbrs[order], sims[order], old[order]
+    starts = np.array(bounds(ids))
+    sizes = np.diff(starts)
+    kept = np.arange(len(ids)) - np.repeat(starts[:-1], sizes) < k
+    return tuple(x[kept] for x in (ids, nbrs, sims, old, np.repeat(sizes >= k, sizes)))
+
+
+def _graph_batch(parts: list[tuple], k: int):
+    """Proposals of a task, an id's k nearest alone: what a hub is proposed shrinks before it moves."""
     import numpy as np
     import pyarrow as pa
 
+    ids, nbrs, sims = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids, nbrs, sims, _, _ = nearest(ids, nbrs, sims, np.zeros(len(ids), bool), k)
     n = len(ids)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nbrs, pa.int64()), pa.array(sims, pa.float32()), pa.array(np.zeros(n, bool)), pa.array(np.zeros(n, bool))], names=["id", "nbr", "sim", "old", "full"])
 
@@ -134,9 +161,9 @@ def cell_bits(count: int) -> int:
 
 
 def orders_of(count: int, threshold: float) -> int:
-    """Random orders so that RECALL of the pairs at the threshold meet in a cell: a bit parts a pair with its angle / pi."""
+    """Random orders so that MEET of the pairs at the threshold meet in a cell: a bit parts a pair with its angle / pi."""
     meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** cell_bits(count)
-    return ORDERS if meet >= 1 else max(ORDERS, math.ceil(math.log(1 - RECALL) / math.log1p(-meet)))
+    return ORDERS if meet >= 1 else max(ORDERS, math.ceil(math.log(1 - MEET) / math.log1p(-meet)))
 
 
 def first_graph(codes: DataFrame, dim: int, count: int, k: int, seed: int, orders: int = ORDERS) -> DataFrame:
@@ -159,16 +186,18 @@ def first_graph(codes: DataFrame, dim: int, count: int, k: int, seed: int, order
     def join(batches):
         import numpy as np
 
+        few = max(2, math.ceil(3 * k / orders))
         for cells, ids, code in runs(batches, lambda b: (b.column(0).to_numpy(), b.column(2).to_numpy(), matrix(b.column(3), dim, np.int8))):
             cuts, out = bounds(cells), []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                for i in range(a, b, WINDOW):
-                    part = slice(max(a, min(i, b - WINDOW)), min(b, i + WINDOW))
-                    out.append(proposals(ids[part], code[part], np.full(part.stop - part.start, -2, np.float32), k))
-            yield _graph_batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                for i in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2):  # windows overlap by half
+                    part = slice(i, min(b, i + WINDOW))
+                    out.append(proposals(ids[part], code[part], np.full(part.stop - part.start, -2, np.float32), few))
+            yield _graph_batch(out, k)
 
-    dealt = codes.select("id", "code").mapInArrow(deal, "cell long, at float, id long, code binary")
-    return dealt.repartition(width, "cell").sortWithinPartitions("cell", "at", "id").mapInArrow(join, GRAPH)
+    dealt = codes.select("id", "code").mapInArrow(lean(deal), "cell long, at float, id long, code binary")
+    # by ranges: a cell that holds many vectors is spread over as many partitions as it fills
+    return dealt.repartitionByRange(width, "cell", "at").sortWithinPartitions("cell", "at", "id").mapInArrow(lean(join), GRAPH)
 
 
 def best(candidates: DataFrame, k: int) -> DataFrame:
@@ -176,26 +205,14 @@ def best(candidates: DataFrame, k: int) -> DataFrame:
     width = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         get = lambda b: tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        for ids, nbrs, sims, old in runs(batches, get):
-            order = np.lexsort((~old, nbrs, ids))  # a pair's old row first
-            ids, nbrs, sims, old = ids[order], nbrs[order], sims[order], old[order]
-            fresh = np.ones(len(ids), bool)
-            fresh[1:] = (ids[1:] != ids[:-1]) | (nbrs[1:] != nbrs[:-1])
-            ids, nbrs, sims, old = ids[fresh], nbrs[fresh], sims[fresh], old[fresh]
-            order = np.lexsort((nbrs, -sims, ids))
-            ids, nbrs, sims, old = ids[order], nbrs[order], sims[order], old[order]
-            starts = np.array(bounds(ids))
-            sizes = np.diff(starts)
-            rank = np.arange(len(ids)) - np.repeat(starts[:-1], sizes)
-            full = np.repeat(sizes >= k, sizes)
-            kept = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(nbrs[kept]), pa.array(sims[kept], pa.float32()), pa.array(old[kept]), pa.array(full[kept])], names=["id", "nbr", "sim", "old", "full"])
-
-    return candidates.repartition(width, "id").sortWithinPartitions("id").mapInArrow(run, GRAPH)
+        for part in runs(batches, get):
+            ids, nbrs, sims, old, full = nearest(*part, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(nbrs), pa.array(sims, pa.float32()), pa.array(old), pa.array(full)], names=["id", "nbr", "sim", "old", "full"])
+
+    return candidates.repartition(width, "id").sortWithinPartitions("id").mapInArrow(lean(run), GRAPH)
 
 
 def refine(graph: DataFrame, codes: DataFrame, dim: int, k: int, turn: int) -> DataFrame:
@@ -208,7 +225,7 @@ def refine(graph: DataFrame, codes: DataFrame, dim: int, k: int, turn: int) -> D
         F.when(F.col("n").isNull(), F.xxhash64("pivot")).otherwise(F.xxhash64("pivot", F.pmod(F.xxhash64("member", F.lit(turn)), F.ceil(F.col("n") / HUB)))).alias("pivot"), "member"
     )
     kth = graph.groupBy("id").agg(F.when(F.first("full"), F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("kth"))
-    known = codes.join(kth, "id", "left").select(F.col("id").alias("member"), "code", F.coalesce("kth", F.lit(-2.0)).cast("float").alias("kth"))
+    known = written(codes.join(kth, "id", "left").select(F.col("id").alias("member"), "code", F.coalesce("kth", F.lit(-2.0)).cast("float").alias("kth")), "known")
     dealt = salted.join(known, "member").select("pivot", "member", "code", "kth").repartition(width, "pivot").sortWithinPartitions("pivot")
 
     def run(batches):
@@ -217,10 +234,9 @@ def refine(graph: DataFrame, codes: DataFrame, dim: int, k: int, turn: int) -> D
         get = lambda b: (b.column(0).to_numpy(), b.column(1).to_numpy(), matrix(b.column(2), dim, np.int8), b.column(3).to_numpy())
         for pivots, members, code, least in runs(batches, get):
             cuts = bounds(pivots)
-            out = [proposals(members[a:b], code[a:b], least[a:b], k) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield _graph_batch(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            yield _graph_batch([proposals(members[a:b], code[a:b], least[a:b], k) for a, b in zip(cuts, cuts[1:], strict=False)], k)
 
-    new = dealt.mapInArrow(run, GRAPH)
+    new = dealt.mapInArrow(lean(run), GRAPH)
     return best(graph.withColumn("old", F.lit(True)).unionByName(new), k)
 
 
@@ -251,12 +267,12 @@ def audit(classes: DataFrame, dim: int, threshold: float, skip: int = 0, queries
                 other = ids[i + a] != own[b]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i + a][other]), pa.array(own[b][other])], names=["src", "dst"])
 
-    return classes.select("cid", "unit").mapInArrow(run, "src long, dst long")
+    return classes.select("cid", "unit").mapInArrow(lean(run), "src long, dst long")
 
 
 def audited(classes: DataFrame, dim: int, count: int, threshold: float) -> tuple[DataFrame, int]:
     """True links of more and more query vectors, and how many vectors were asked."""
-    most = min(count, max(MOST_AUDIT, 8 * math.isqrt(count)))
+    most = min(count, MOST_AUDIT)
     asked, true = 0, None
     while True:
         more = min(most, max(AUDIT, 4 * asked)) - asked
@@ -278,7 +294,7 @@ def groups(classes: DataFrame, dim: int, count: int, threshold: float, k: int =
     turn, before, attempt, tries = 100, None, 0, 0
     while True:
         attempt += 1
-        # recall is that of the graph alone: a true link counts if the search has joined its ends
+        # recall of the graph alone: all pairs inside a group are compared, so a true link is found if its ends share one
         own = written(connected_components(edges), "found")
         both = true.join(own.toDF("src", "a"), "src", "left").join(own.toDF("dst", "b"), "dst", "left")
         asked, got = both.agg(F.count("*"), F.count_if(F.col("a") == F.col("b"))).first()
@@ -299,9 +315,10 @@ def groups(classes: DataFrame, dim: int, count: int, threshold: float, k: int =
         graph = descend(graph, codes, dim, k, 2 if low else 1, turn)
         edges = written(edges.union(near(graph)), "near")
     figures = {"recall": recall, "audited": asked, "queries": queries, "attempts": attempt, "k": k}
-    if recall is not None and recall < LEAST_RECALL:
-        raise RuntimeError(f"the search finds too few links: {figures}")
-    (log.warning if recall is None or recall < RECALL else log.info)("nearest-neighbour search over %d vectors: %s", count, figures)
+    figures["exact"] = recall is not None and recall < RECALL
+    (log.warning if recall is None or figures["exact"] else log.info)("nearest-neighbour search over %d vectors: %s", count, figures)
+    if figures["exact"]:  # the search does not do: everything is one group, compared block by block
+        return codes.select("id", F.lit(0).cast("long").alias("component")), figures
     return written(connected_components(edges.union(true)), "found"), figures
 
 
@@ -342,18 +359,21 @@ def compare(members: DataFrame, dim: int, threshold: float) -> DataFrame:
             own, count, peer, has = (np.concatenate(z) for z in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), pa.array(peer, pa.int64(), mask=~has)], names=["id", "links", "other"])
 
-    return dealt.repartition(width, "task").sortWithinPartitions("task", "cid").mapInArrow(run, "id long, links long, other long")
+    return dealt.repartition(width, "task").sortWithinPartitions("task", "cid").mapInArrow(lean(run), "id long, links long, other long")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id_col, n_links, component_id, kept) per row.
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", report: list | None = None) -> DataFrame:
+    """(id_col, n_links, component_id, kept) per row. report, if given, gets the figures of each search (recall and so on).
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; vectors of different
     lengths do not link. Equal vectors link, also under one id. component_id is the smallest id reachable; rows with a
     null id are linked like others but have no component of their own. Other columns are ignored; an empty table gives
     an empty table.
     """
+    batch_rows(rows.sparkSession, NARROW_ROWS)
+    spark, made = rows.sparkSession, list(MADE)
     plain = written(rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v")), "vectors")
+    plain_at = MADE[-1]
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = plain.filter(F.coalesce(sound, F.lit(False)))
     grouped = valid.groupBy("v").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
@@ -368,8 +388,11 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     found = None
     for dim, count in sorted((r.dim, r.n) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = classes.filter(F.col("dim") == dim)
-        grouped_by, _ = groups(own, dim, count, threshold)
-        sizes = grouped_by.groupBy("component").agg(F.count("*").alias("size"))
+        grouped_by, figures = groups(own, dim, count, threshold)
+        if report is not None:
+            report.append({"dim": dim, "vectors": count, **figures})
+        # written tables on both sides of a join: adaptive execution splits its hot keys
+        sizes = written(grouped_by.groupBy("component").agg(F.count("*").alias("size")), "sizes")
         members = own.join(grouped_by.join(sizes, "component").withColumnRenamed("id", "cid"), "cid").select("cid", "unit", "copies", "component", "size")
         part = compare(members, dim, threshold)
         found = part if found is None else found.union(part)
@@ -378,9 +401,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     found = written(found, "links")
     components = connected_components(found.filter("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst"))).toDF("cid", "component")
     counted = found.groupBy(F.col("id").alias("cid")).agg(F.sum("links").alias("links"))
-    labelled = per_class.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")).join(counted, "cid", "left")
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    done = labelled.join(least, "component").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    labelled = written(per_class.join(components, "cid", "left").withColumn("component", F.coalesce("component", "cid")).join(counted, "cid", "left"), "labelled")
+    least = written(labelled.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    done = written(labelled.join(least, "component").select("cid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "done")
+    forget(spark, made, plain_at, MADE[-1])
     keyed = plain.select("id", F.when(F.coalesce(sound, F.lit(False)), F.xxhash64("v", F.lit(seed))).alias("cid"))
     out = keyed.join(done, "cid", "left")
     component = F.coalesce("component_id", F.when(F.col("cid").isNull(), F.col("id")))
