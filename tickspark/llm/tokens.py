@@ -8,22 +8,22 @@ document's global start is its file's base plus select(i - 1).
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickspark.llm.bpe import blocks, lengths
-from tickspark.llm.common import filesystem, shared_path, written
+from tickspark.llm.common import WIDE_ROWS, batch_rows, filesystem, lean, shared_path, written
 
 MAGIC = b"TSIDS001"
 FOOTER = struct.Struct("<8sBQQQQQ")
-#: Ids after which a new file begins (a single longer document stays whole).
-FILE_IDS = 1 << 26
+#: Ids and documents after which a new file begins (a single longer document stays whole).
+FILE_IDS, FILE_DOCS = 1 << 26, 1 << 21
 #: Bytes of text that are encoded at once.
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 6_000_000
 SAMPLE = 256
 
 
@@ -98,17 +98,39 @@ class EliasFano:
         return (where - np.arange(self.n)) << self.low_bits | bits @ (1 << np.arange(self.low_bits))
 
 
+def word_by_word(spec: dict) -> bool:
+    """Whether a tokenizer (its JSON) encodes blank-free stretches of a text apart, as WordEncoder's memo needs.
+
+    It has to compose, turn blanks into one and lower-case, in this order; to cut into contractions, runs of letters,
+    digits and runs of other signs, none holding a blank; to end each piece with a mark; and to add no token that reaches beyond its own text.
+    """
+    forms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = cuts[0] if cuts else {}
+    plain = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and t["content"].isascii() and len(t["content"].split()) == 1 for t in spec.get("added_tokens", []))
+    return (
+        forms == ["NFC", "Replace", "Lowercase"]
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and first.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and not cuts[1].get("add_prefix_space")
+        and (spec["model"].get("type"), spec["model"].get("end_of_word_suffix"), spec["model"].get("dropout")) == ("BPE", "</w>", None)
+        and not any(spec.get(k) for k in ("truncation", "padding", "post_processor"))
+        and plain
+    )
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, which is asked once for each blank-free stretch that the memo lacks.
 
-    Right for tokenizers whose pieces never hold or cross ASCII white space, that lower-case letters first, and for
-    which a run of letters is one piece that ends in a token with an end-of-word mark.
+    A tokenizer that word_by_word() refuses gets whole texts.
     """
 
-    #: Entries after which the memo is cut back to the current block, and words that the library is given at once.
-    ENTRIES, AT_ONCE = 600_000, 64
+    #: Bytes that the memo takes at most, words that the library is given at once, and characters of a text that are looked at together.
+    MEMO_BYTES, AT_ONCE, LONG = 80 << 20, 256, 4 << 20
 
     def __init__(self, path: str) -> None:
+        import json
         import os
 
         import numpy as np
@@ -117,18 +139,36 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.by_word = word_by_word(spec)
+        self.added = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
         vocabulary = self.library.get_vocab()
-        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.kind = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def lowered(self, texts):
+        """An Arrow string array with A-Z in lower case, as the normaliser has them too, so that more stretches are equal.
+
+        Not where that shows: beside combining marks (U+0300 to U+037F), which compose with some letters of one case only, and
+        in texts with an added token in any case, since only its exact form is one.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lower = pc.ascii_lower(texts)
+        odd = [b"\xcc" in x or b"\xcd" in x or any(t in x for t in self.added) for x in lower.cast(pa.binary()).to_pylist()]
+        return pc.if_else(pa.array(odd), texts, lower) if any(odd) else lower
 
-    def ask(self, units: list[bytes]) -> None:
-        """Have the library encode units. Runs of letters are joined by blanks and told apart by their last tokens."""
+    def ask(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Units as the library encodes them. Runs of letters are joined by blanks and told apart by their last tokens."""
         import numpy as np
 
-        texts = [x.decode() for x in units]
+        found: dict[bytes, bytes] = {}
+        texts = b"\n".join(units).decode().split("\n") if units else []  # no unit holds a line end
         letters = [k for k, x in enumerate(texts) if x.isalpha()]
         rest = [k for k, x in enumerate(texts) if not x.isalpha()]
         parts = [letters[i : i + self.AT_ONCE] for i in range(0, len(letters), self.AT_ONCE)]
@@ -136,90 +176,182 @@ class WordEncoder:
             some = parts[i : i + 64]
             for part, made in zip(some, self.library.encode_batch_fast([" ".join([texts[k] for k in part]) for part in some], add_special_tokens=False), strict=True):
                 ids = np.array(made.ids, self.kind)
-                last = np.flatnonzero(self.ends[ids]) + 1
-                if len(last) != len(part):
+                ends = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+                if len(ends) != len(part):
                     rest += part
                     continue
-                data, width, at = ids.tobytes(), ids.itemsize, 0
-                for k, end in zip(part, last.tolist(), strict=True):
-                    self.memo[units[k]] = data[at * width : end * width]
-                    at = end
+                data = ids.tobytes()
+                found.update(zip([units[k] for k in part], [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         for i in range(0, len(rest), 4096):
             some = rest[i : i + 4096]
             for k, made in zip(some, self.library.encode_batch_fast([texts[k] for k in some], add_special_tokens=False), strict=True):
-                self.memo[units[k]] = np.array(made.ids, self.kind).tobytes()
+                found[units[k]] = np.array(made.ids, self.kind).tobytes()
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian. A long text goes through in parts that end at blanks."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not self.by_word:
+            return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out = self.block(pa.array([x if len(x) <= self.LONG else "" for x in texts], pa.string()))
+        for i, text in enumerate(texts):
+            if len(text) > self.LONG:
+                out[i] = b"".join(self.block(pa.array([part], pa.string()))[0] for part in parts_of(text, self.LONG))
+        return out
+
+    def block(self, texts) -> list[bytes]:
+        """Ids of an Arrow array of texts: its distinct stretches are looked up, and their ids gathered by place."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(self.lowered(texts))
+        told = split.flatten().dictionary_encode()
+        units = told.dictionary.cast(pa.binary()).to_pylist()  # an empty one stands before and behind blanks
+        found = self.looked_up(units)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // int(self.kind[-1])
+        pool, first = np.frombuffer(b"".join(found), self.kind), np.cumsum(sizes) - sizes
+        at = told.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(counts)))
+        places = np.arange(ends[-1]) + np.repeat(first[at] - ends[:-1], counts)
+        data = pool[places].tobytes()
+        cuts = (ends[split.offsets.to_numpy()] * int(self.kind[-1])).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def looked_up(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct stretches; an empty one has none."""
         memo = self.memo
-        # the normaliser lower-cases too; doing it for A-Z here makes more stretches equal
-        split = [x.encode("utf-8", "replace").lower().split() for x in texts]
-        used = set().union(*split)
-        missing = used.difference(memo)
+        found = list(map(memo.get, units))
+        missing = [u for u, x in zip(units, found, strict=True) if x is None and u]
         # a run of ASCII letters and the points after it are pieces of their own
         stems = {u: u.rstrip(b".,") for u in missing if u[-1] in b".,"}
         stems = {u: s for u, s in stems.items() if s.isalpha()}
-        self.ask(list(missing.difference(stems).union(stems.values(), (u[len(s) :] for u, s in stems.items())).difference(memo)))
-        for u, s in stems.items():
-            memo[u] = memo[s] + memo[u[len(s) :]]
-        out = [b"".join(map(memo.__getitem__, x)) for x in split]
-        if len(memo) > self.ENTRIES:
-            self.memo = {u: memo[u] for u in used if len(u) <= 40}
-        else:
-            for u in [u for u in missing if len(u) > 40]:
-                del memo[u]
-        return out
+        parts = {*stems.values(), *(u[len(s) :] for u, s in stems.items())}
+        fresh = self.ask(list({u for u in missing if u not in stems}.union(parts).difference(memo)))
+        known = {u: memo[u] for u in parts if u in memo} | fresh
+        fresh |= {u: known[s] + known[u[len(s) :]] for u, s in stems.items()}
+        found = [fresh.get(u, b"") if x is None else x for u, x in zip(units, found, strict=True)]
+        cost = _cost(fresh)
+        if self.held + cost > self.MEMO_BYTES:  # bounded before anything is added: start again from this block
+            fresh = {u: x for u, x in zip(units, found, strict=True) if u}
+            self.memo, self.held, cost = {}, 0, _cost(fresh)
+        if self.held + cost <= self.MEMO_BYTES:
+            self.memo.update(fresh)
+            self.held += cost
+        return found
+
+
+def parts_of(text: str, most: int) -> list[str]:
+    """A text in parts of about `most` characters that end before an ASCII blank (a longer stretch without one stays whole)."""
+    import re
+
+    out, at, blank = [], 0, re.compile(r"[ \t\n\r\x0b\x0c]")
+    while len(text) - at > most and (cut := blank.search(text, at + most)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process: its bounded memo serves all tasks that run there."""
+    return WordEncoder(path)
+
+
+def _cost(table: dict[bytes, bytes]) -> int:
+    """Bytes that entries of a memo take, about: two objects and a slot each."""
+    return 200 * len(table) + sum(map(len, table)) + sum(map(len, table.values()))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Write docs' ids in ascending id order to files under `path`; returns their manifest (part, roll, file, docs, ids).
 
-    Texts are range-partitioned and sorted by id (nulls first; equal ids by text), each partition writes its files in
-    order, and a file appears under its name only when whole: a retried task replaces it with the same bytes.
+    Texts are range-partitioned and sorted by id (nulls first; equal ids by text) and each partition writes its files in
+    order. A retried task writes files of new names; only those of the attempt that counts are in the manifest.
     """
     plain = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    batch_rows(docs.sparkSession, WIDE_ROWS)
     ordered = plain.repartitionByRange("k").sortWithinPartitions("k", "t")
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        gc.disable()  # nothing here makes cycles, and scanning the memo is slow
-        part, encoder = TaskContext.get().partitionId(), WordEncoder(tokenizer_path)
+        part, encoder = TaskContext.get().partitionId(), word_encoder(tokenizer_path)
         end = end_id.to_bytes(int(encoder.kind[-1]), "little")
         width, out, roll = len(end), None, 0
-        for batch in batches:
-            for a, b in blocks(lengths(batch.column(1)), BLOCK_BYTES):
-                keys, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
-                for j, ids in enumerate(encoder.encode([x or "" for x in texts.to_pylist()])):
-                    if out is not None and out.ids and out.ids + len(ids) // width >= file_ids:
-                        yield out.close()
-                        out, roll = None, roll + 1
-                    if out is None:
-                        out = _File(path, part, roll, width)
-                    out.add(keys.slice(j, 1), ids + end)
+        for keys, texts in blocks_of(batches):
+            made, begin = encoder.encode(texts), 0
+            while begin < len(made):
+                if out is None:
+                    out = _File(path, part, roll, width)
+                stop = begin + out.room([len(x) // width + 1 for x in made[begin:]], file_ids)
+                out.add(keys.slice(begin, stop - begin), [x + end for x in made[begin:stop]])
+                begin = stop
+                if begin < len(made):
+                    yield out.close()
+                    out, roll = None, roll + 1
         if out is not None:
             yield out.close()
 
-    made = ordered.mapInArrow(run, "part int, roll int, file string, docs long, ids long")
+    made = ordered.mapInArrow(lean(run), "part int, roll int, file string, docs long, ids long")
     return written(made, "manifest")
 
 
+def blocks_of(batches):
+    """(ids column, texts) of blocks of whole rows, across batches; a null text is an empty one."""
+    import pyarrow as pa
+
+    def whole():
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        return table.column(0), [x or "" for x in table.column(1).to_pylist()]
+
+    held, size = [], 0
+    for batch in batches:
+        sizes = lengths(batch.column(1))
+        for a, b in blocks(sizes, BLOCK_BYTES):
+            more = sum(sizes[a:b])
+            if held and size + more > BLOCK_BYTES:
+                yield whole()
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size += more
+    if held:
+        yield whole()
+
+
 class _File:
+    """One file while it is written. Its name is used by one attempt only; the manifest alone says which files count."""
+
     def __init__(self, folder: str, part: int, roll: int, width: int) -> None:
         import uuid
-
-        self.name = f"{folder}/part-{part:06d}-{roll:04d}.ids"
-        self.part, self.roll, self.width, self.ids, self.ends, self.keys = part, roll, width, 0, [], []
-        self.fs, self.target = filesystem(self.name)
-        self.fs.create_dir(self.target.rpartition("/")[0], recursive=True)
-        self.temporary = f"{self.target}.{uuid.uuid4().hex}.writing"
-        self.out = self.fs.open_output_stream(self.temporary)
-
-    def add(self, key, ids: bytes) -> None:
-        self.out.write(ids)
-        self.ids += len(ids) // self.width
-        self.ends.append(self.ids)
-        self.keys.append(key)
+        from array import array
+
+        self.name = f"{folder}/part-{part:06d}-{roll:04d}-{uuid.uuid4().hex}.ids"
+        self.part, self.roll, self.width, self.ids, self.ends, self.keys = part, roll, width, 0, array("q"), []
+        fs, target = filesystem(self.name)
+        fs.create_dir(target.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(target)
+
+    def room(self, sizes: list[int], most: int) -> int:
+        """How many of the next documents go into this file: one at least if it is empty."""
+        total = self.ids
+        for n, size in enumerate(sizes):
+            total += size
+            if (total > most or len(self.ends) + n >= FILE_DOCS) and (n or self.ends):
+                return n
+        return len(sizes)
+
+    def add(self, keys, made: list[bytes]) -> None:
+        """Documents with their ids."""
+        for ids in made:
+            self.out.write(ids)
+            self.ids += len(ids) // self.width
+            self.ends.append(self.ids)
+        if len(keys):
+            self.keys.append(keys)
 
     def close(self):
         import pyarrow as pa
@@ -233,7 +365,6 @@ class _File:
         self.out.write(bounds)
         self.out.write(FOOTER.pack(MAGIC, self.width, self.ids, len(self.ends), len(named), len(bounds), zlib.crc32(bounds)))
         self.out.close()
-        self.fs.move(self.temporary, self.target)
         return pa.RecordBatch.from_arrays([pa.array([self.part], pa.int32()), pa.array([self.roll], pa.int32()), pa.array([self.name]), pa.array([len(self.ends)]), pa.array([self.ids])], names=["part", "roll", "file", "docs", "ids"])
 
 
@@ -291,7 +422,7 @@ def read(spark: SparkSession, manifest: DataFrame, id_type: str = "long", id_col
                     yield pa.RecordBatch.from_arrays([stored.keys.slice(i, j - i).combine_chunks(), pa.array(starts[i:j] + base), pa.array(out, pa.binary())], names=["k", "start", "ids"])
                     i = j
 
-    return dealt.mapInArrow(run, f"k {id_type}, start long, ids binary").toDF(id_col, "start", "ids")
+    return dealt.mapInArrow(lean(run), f"k {id_type}, start long, ids binary").toDF(id_col, "start", "ids")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
