@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm.bpe import blocks, lengths
-from tickspark.llm.common import filesystem, shared_path, written
+from tickspark.llm.common import WIDE_ROWS, batch_rows, filesystem, lean, shared_path, split_by, written
 
 #: Bytes of block per segment, of payload per transfer chunk, and of file after which a new one begins.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 16 << 10, 4 << 10, 64 << 20
@@ -25,13 +25,24 @@ ROW = "page string, record string, revisit_of string, segment int, total long, d
 
 
 def marked(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """pages' id, url and payload, its digest and length, and `original`: the smallest id with this payload, where it is another's."""
+    """pages' id, url, payload, its digest and length n, and `original`: the smallest id with this payload, where it is another's.
+
+    Payloads stand where they are unless their digest may be one that several pages share. Of those, the revisits are
+    found from ids and digests alone and have no payload here; the responses then move by their own id and digest, so
+    pages of one digest never meet in a task.
+    """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     plain = pages.select(F.col(id_col).alias("k"), url.alias("url"), payload.alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload")})
     shared = plain.filter(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("k").alias("original"), F.count("*").alias("copies"))
-    joined = plain.join(shared.filter("copies > 1").select("digest", "original"), "digest", "left")
-    return joined.withColumn("original", F.when(F.col("original").isNotNull() & ~F.col("k").eqNullSafe(F.col("original")), F.col("original")))
+    shared = written(shared.filter("copies > 1 AND original IS NOT NULL").select("digest", "original"), "shared")
+    some, rest = split_by(plain, F.xxhash64("digest"), shared.select(F.xxhash64("digest")))
+    revisits = some.drop("payload").join(shared, "digest").filter(~F.col("k").eqNullSafe(F.col("original")))
+    revisits = written(revisits.select("k", "url", F.lit(b"").alias("payload"), "digest", "n", "original"), "revisits")
+    # what names the revisits is all that is read from here on
+    gone = revisits.select(F.col("k").alias("r_k"), F.col("digest").alias("r_digest")).distinct()
+    responses = some.join(gone, (F.col("digest") == F.col("r_digest")) & F.col("k").eqNullSafe(F.col("r_k")), "left_anti").unionByName(rest)
+    return responses.withColumn("original", F.lit(None).cast(pages.schema[id_col].dataType)).unionByName(revisits)
 
 
 def http_block(payload: bytes, chunk_bytes: int = CHUNK_BYTES) -> bytes:
@@ -75,11 +86,11 @@ def _gzip(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def records(page: str | None, url: str | None, payload: bytes, digest: str, original: str | None, name: str, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response and its continuations."""
+def records(page: str | None, url: str | None, payload: bytes, digest: str, length: int, original: str | None, name: str, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """The records of one page: a revisit (which needs its payload's length only), or a response and its continuations."""
     common = [("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Page", page)]
     if original is not None:
-        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+        head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
         yield record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:record:{name}>"), ("WARC-Profile", profile), ("WARC-Refers-To-Page", original), *common], head)
         return
@@ -93,14 +104,15 @@ def records(page: str | None, url: str | None, payload: bytes, digest: str, orig
 
 
 class _File:
-    def __init__(self, name: str) -> None:
+    """One archive while it is written. Its name is used by one attempt only; the manifest alone says which files count."""
+
+    def __init__(self, folder: str, part: int, roll: int) -> None:
         import uuid
 
-        self.name, self.at, self.count = name, 0, 0
-        self.fs, self.target = filesystem(name)
-        self.fs.create_dir(self.target.rpartition("/")[0], recursive=True)
-        self.temporary = f"{self.target}.{uuid.uuid4().hex}.writing"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.name, self.at, self.count = f"{folder}/part-{part:06d}-{roll:04d}-{uuid.uuid4().hex}.warc.gz", 0, 0
+        fs, target = filesystem(self.name)
+        fs.create_dir(target.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(target, compression=None)
 
     def add(self, data: bytes) -> None:
         self.out.write(data)
@@ -111,13 +123,13 @@ class _File:
         import pyarrow as pa
 
         self.out.close()
-        self.fs.move(self.temporary, self.target)
         return pa.RecordBatch.from_arrays([pa.array([self.name]), pa.array([self.count], pa.int64()), pa.array([self.at], pa.int64())], names=["file", "records", "bytes"])
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", file_bytes: int = FILE_BYTES, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Write pages as WARC files below path; returns the manifest (file, records, bytes)."""
-    rows = marked(pages, id_col, html_col).select(F.col("k").cast("string"), "url", "payload", "digest", F.col("original").cast("string"))
+    batch_rows(pages.sparkSession, WIDE_ROWS)
+    rows = marked(pages, id_col, html_col).select(F.col("k").cast("string"), "url", "payload", "digest", "n", F.col("original").cast("string"))
 
     def run(batches):
         from pyspark import TaskContext
@@ -131,12 +143,12 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str =
                         if out is not None and out.at >= file_bytes:
                             yield out.close()
                             roll, out = roll + 1, None
-                        out = out or _File(f"{path}/part-{part:06d}-{roll:04d}.warc.gz")
+                        out = out or _File(path, part, roll)
                         out.add(data)
         if out is not None:
             yield out.close()
 
-    return written(rows.mapInArrow(run, "file string, records long, bytes long"), "manifest")
+    return written(rows.mapInArrow(lean(run), "file string, records long, bytes long"), "manifest")
 
 
 def parse(stream, read_bytes: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -189,7 +201,7 @@ def parsed(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return manifest.select("file").repartition(width, "file").mapInArrow(run, ROW)
+    return manifest.select("file").repartition(width, "file").mapInArrow(lean(run), ROW)
 
 
 def joined(origin: str, pieces: list[tuple[int, int | None, bytes]]) -> bytes:
@@ -227,7 +239,7 @@ def reassembled(segments: DataFrame) -> DataFrame:
         if held:
             yield whole(held)
 
-    return ordered.mapInArrow(run, ROW)
+    return ordered.mapInArrow(lean(run), ROW)
 
 
 def read(manifest: DataFrame, id_type: str = "long", id_col: str = "page_id") -> DataFrame:
