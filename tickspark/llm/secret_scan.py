@@ -2,7 +2,7 @@
 
 Each rule's regular expression is analysed on the driver into a Boolean query over trigrams that every match must
 hold. Postings (trigram, document) are built for the trigrams that the rules ask for, intersected per document, and
-the rules run only on their candidates. A rule with no mandatory trigram scans every text.
+the rules run only on their candidates. A rule with no mandatory trigram scans every text. Postings move, texts do not.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.llm.common import split_by, written
 from tickspark.llm.lines import let
 
 
@@ -169,24 +170,41 @@ def _any(query: Query) -> Column:
     return out
 
 
+#: Type of the spans of one rule.
+SPANS = "array<struct<start:int,nth:int,end:int,kind:string,size:int>>"
+#: Matches whose lengths are summed one by one; whole runs of so many are summed once.
+RUN = 128
+
+
+def before(sizes: Column) -> Column:
+    """Sum of all earlier elements for each element of an array that is not empty: in runs, so that long arrays cost little more."""
+    add = lambda a, b: a + b
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    run = lambda k: F.floor(k / RUN).cast("int")
+    count = run(F.size(sizes) - 1)
+    sums = F.transform(F.sequence(F.lit(0), count), lambda b: total(F.slice(sizes, b * RUN + 1, F.lit(RUN))))
+    bases = let(sums, lambda xs: F.transform(xs, lambda _, b: total(F.slice(xs, F.lit(1), b))))
+    return let(bases, lambda base: F.transform(sizes, lambda _, k: F.get(base, run(k)) + total(F.slice(sizes, run(k) * RUN + 1, k % RUN))))
+
+
 def spans(text: Column, rule: Rule, nth: int) -> Column:
     """array<struct(start, nth, end, kind)> of the rule's matches in text, in code points.
 
     Positions come from the lengths of the matches and of the pieces between them.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else F.transform(found, F.length)
-    kind = "array<struct<start:int,nth:int,end:int,kind:string,size:int>>"
-    whole = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(found, F.length).alias("len"), sizes.alias("size"))
+    lengths = F.transform(found, F.length)
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length) if rule.group else lengths
+    # the piece after the last match belongs to none
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), lengths, lambda gap, n: F.length(gap) + n)
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["len"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(nth).alias("nth"), end.alias("end"), F.lit(rule.kind).alias("kind"), x["size"].alias("size"))).cast(kind)
-        return F.struct(end.alias("at"), F.when(x["size"] >= rule.least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(lens: Column) -> Column:
+        one = lambda x: F.struct((x["at"] + x["step"] - x["len"]).alias("start"), F.lit(nth).alias("nth"), (x["at"] + x["step"]).alias("end"), F.lit(rule.kind).alias("kind"), x["size"].alias("size"))
+        told = lambda s: F.arrays_zip(before(s).alias("at"), s.alias("step"), lens.alias("len"), (sizes if rule.group else lens).alias("size"))
+        return let(steps, lambda s: let(told(s), lambda z: F.transform(z, one)))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(F.aggregate(whole, start, step, lambda acc: acc["out"]))
+    some = F.size(lengths) > 0
+    return F.filter(F.when(some, let(lengths, placed)).otherwise(F.array().cast(SPANS)), lambda x: x["size"] >= rule.least)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,18 +214,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
     empty table gives an empty table; other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    rows, mark = docs.select(F.col(id_col).alias("id"), text.alias("text")), F.xxhash64("text")
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     asked = {t for q in queries.values() if q is not None for s in q for t in s}
+    none = F.array().cast("array<string>")
     if asked:
-        found = candidates(postings(rows, asked), queries).withColumnsRenamed({"id": "c_id", "mark": "c_mark"})
-        rows = rows.join(found, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")), "left")
+        found = written(candidates(postings(rows.withColumn("mark", mark), asked), queries), "candidates").toDF("c_id", "c_mark", "kinds")
+        # only rows that may be candidates move; all others are scanned where they stand
+        some, rest = split_by(rows, F.xxhash64("id"), found.select(F.xxhash64("c_id")))
+        some = some.withColumn("mark", mark).join(found, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("mark") == F.col("c_mark")), "left").select("id", "text", "kinds")
+        rows = some.unionByName(rest.withColumn("kinds", none))
     else:
-        rows = rows.withColumn("kinds", F.array().cast("array<string>"))
+        rows = rows.withColumn("kinds", none)
     parts = []
     for nth, rule in enumerate(rules):
         there = spans(F.col("text"), rule, nth)
-        parts.append(there if queries[rule.kind] is None else F.when(F.array_contains("kinds", rule.kind), there).otherwise(F.array().cast("array<struct<start:int,nth:int,end:int,kind:string,size:int>>")))
+        parts.append(there if queries[rule.kind] is None else F.when(F.array_contains("kinds", rule.kind), there).otherwise(F.array().cast(SPANS)))
     return rows.select(F.col("id").alias(id_col), F.array_sort(F.concat(*parts)).alias("spans"))
 
 
