@@ -4,24 +4,24 @@ Equal fingerprints collapse to one. Distinct ones are partitioned by their Hammi
 fingerprints: each distance is a ring, and a tuple of rings is a shard. By the triangle inequality two fingerprints
 within `radius` lie in rings that differ by `radius` at most, so each fingerprint is stored in its own shard and
 queries the shards that its ball overlaps; of two neighbouring shards only one is asked. Inside a shard the same rule
-prunes branches of a local tree, and the leaves compare exactly. A shard returns a spanning forest of its links, not
-its pairs, so a large group of near copies stays linear.
+prunes branches of a local tree, and the leaves compare exactly. Rings are not equally full: a shard with too many
+fingerprints is split by the rings around one of them, and so on. A shard returns a spanning forest of its links, not its
+pairs, so a large group of near copies stays linear.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import connected_components, written
+from tickspark.llm.common import MADE, WIDE_ROWS, batch_rows, connected_components, forget, lean, written
 
-#: Rows that the fullest shard should store at most; the number of vantage points, two at least, follows from it and the row count.
-SHARD_ROWS = 200_000
-#: Share of random fingerprints in the fullest ring of one vantage point (the centre of a binomial of 64 fair bits).
-FULLEST_RING = 0.1
+#: Fingerprints that a shard stores at most: a fuller one is split by the rings around one of its own, down to MOST_LEVELS rings in all.
+SHARD_ROWS, MOST_LEVELS = 20_000, 10
+#: Vantage points that all fingerprints are dealt by.
+VANTAGE = 2
 #: Fingerprints from which vantage points are chosen.
 VANTAGE_SAMPLE = 256
 #: Pairs that a leaf compares in one step.
@@ -59,6 +59,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp long: the 64 bits as a signed number) per row of docs. A null text counts as empty."""
     plain = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    batch_rows(docs.sparkSession, WIDE_ROWS)
     id_type = plain.schema["k"].dataType.simpleString()
 
     def run(batches):
@@ -69,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], names=["k", "fp"])
 
-    return plain.mapInArrow(run, f"k {id_type}, fp long").toDF(id_col, "fp")
+    return plain.mapInArrow(lean(run), f"k {id_type}, fp long").toDF(id_col, "fp")
 
 
 class Links:
@@ -140,39 +141,75 @@ def near(queries, stored, values, radius: int, links: Links, depth: int = 0) ->
         links.add(a[other], b[other])
 
 
-def shards(distinct: DataFrame, vantage: list[int], radius: int) -> DataFrame:
-    """(shard, fp, stored): each fingerprint in its own shard, and as a query in those that its ball overlaps."""
-    steps = [s for s in product(range(-radius, radius + 1), repeat=len(vantage)) if s > (0,) * len(vantage)]
+def dealt(fp, vantage: list[int], fat: dict[int, int], radius: int, own: bool):
+    """(position, shard, stored) arrays of fingerprints (unsigned array): own shards, and unless `own` the later ones that a ball overlaps.
+
+    A shard is a path of rings: first those of the vantage points, then, while the path is that of a fat shard, the ring
+    around the fingerprint that splits it. Of two shards of linked fingerprints the later one, where the paths part, is asked.
+    """
+    import numpy as np
+
+    places, path, later = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.zeros(len(fp), bool)
+
+    def step(some, points):
+        nonlocal places, path, later
+        rings = np.bitwise_count(fp[places[some]] ^ points).astype(np.int64)
+        parts = [(places[~some], path[~some], later[~some])]
+        for shift in (0,) if own else range(-radius, radius + 1):
+            ring = rings + shift
+            ok = (ring >= 0) & (ring <= 64) & ((shift >= 0) | later[some])
+            parts.append((places[some][ok], path[some][ok] * 66 + ring[ok] + 1, later[some][ok] | (shift > 0)))
+        places, path, later = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    for point in vantage:
+        step(np.ones(len(path), bool), np.int64(point).view(np.uint64))
+    keys = np.array(sorted(fat), np.int64)
+    points = np.array([fat[k] for k in keys.tolist()], np.int64).view(np.uint64)
+    while len(keys):
+        at = np.minimum(np.searchsorted(keys, path), len(keys) - 1)
+        some = keys[at] == path
+        if not some.any():
+            break
+        step(some, points[at[some]])
+    return places, path, ~later
+
+
+def shards(distinct: DataFrame, vantage: list[int], fat: dict[int, int], radius: int, own: bool = False) -> DataFrame:
+    """(shard, fp, stored): each fingerprint in its own shard, and unless `own` as a query in those that its ball overlaps."""
 
     def run(batches: Iterable) -> Iterable:
         import numpy as np
         import pyarrow as pa
 
-        points = np.array(vantage, np.int64).view(np.uint64)
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            rings = np.bitwise_count(fp.view(np.uint64)[:, None] ^ points[None, :]).astype(np.int64)
-            for step in [(0,) * len(vantage), *steps]:
-                to = rings + np.array(step)
-                ok = ((to >= 0) & (to <= 64)).all(axis=1)
-                shard = np.zeros(len(fp), np.int64)
-                for k in range(len(vantage)):
-                    shard = shard * 65 + to[:, k]
-                stored = np.full(int(ok.sum()), not any(step))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[ok]), pa.array(fp[ok]), pa.array(stored)], names=["shard", "fp", "stored"])
+            places, path, stored = dealt(fp.view(np.uint64), vantage, fat, radius, own)
+            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(fp[places]), pa.array(stored)], names=["shard", "fp", "stored"])
 
-    return distinct.select("fp").mapInArrow(run, "shard long, fp long, stored boolean")
+    return distinct.select("fp").mapInArrow(lean(run), "shard long, fp long, stored boolean")
+
+
+def fat_shards(distinct: DataFrame, vantage: list[int], radius: int, shard_rows: int) -> dict[int, int]:
+    """Shards that store more than shard_rows fingerprints, each with one of them that splits it, level by level.
+
+    At most one entry for each shard_rows fingerprints and level reaches the driver.
+    """
+    fat: dict[int, int] = {}
+    for _ in range(MOST_LEVELS - len(vantage)):
+        sizes = shards(distinct, vantage, fat, radius, own=True).groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp"), "fp")).alias("x"))
+        new = {r.shard: r.fp for r in sizes.filter(F.col("n") > shard_rows).select("shard", "x.fp").collect()}
+        if not new:
+            break
+        fat |= new
+    return fat
 
 
 def links(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(src, dst): a spanning forest per shard of all links between distinct fingerprints (fp long) within radius."""
     spark = distinct.sparkSession
-    n = distinct.count()
     sample = [r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(VANTAGE_SAMPLE).collect()]
-    depth, left = 2, n * FULLEST_RING**2
-    while left > shard_rows and depth < 4:
-        depth, left = depth + 1, left * FULLEST_RING
-    vantage = spread_out(sample, depth)
+    vantage = spread_out(sample, VANTAGE)
+    fat = fat_shards(distinct, vantage, radius, shard_rows)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def local(table):
@@ -186,7 +223,7 @@ def links(distinct: DataFrame, radius: int = 2, shard_rows: int = SHARD_ROWS) ->
         signed = values.view(np.int64)
         return pa.table({"src": pa.array(signed[a], pa.int64()), "dst": pa.array(signed[b], pa.int64())})
 
-    return shards(distinct, vantage, radius).repartition(width, "shard").groupBy("shard").applyInArrow(local, "src long, dst long")
+    return shards(distinct, vantage, fat, radius).repartition(width, "shard").groupBy("shard").applyInArrow(local, "src long, dst long")
 
 
 def spread_out(sample: list[int], count: int) -> list[int]:
@@ -214,10 +251,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     the smallest id that is not null, or null if there is none. Repeated rows each get their row. Ids are compared as
     numbers; other columns are ignored. An empty table gives an empty table.
     """
+    spark, made = docs.sparkSession, list(MADE)
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    prints_at = MADE[-1]
     classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
     found = connected_components(links(classes.select("fp"), radius, shard_rows))
-    labelled = classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "label").select("fp", "component_id")
+    # written tables on both sides: adaptive execution splits the hot keys of these joins (a giant component, a print of many copies)
+    labelled = written(classes.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("label", F.coalesce("component", "fp")), "labelled")
+    least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    named = written(labelled.join(least, "label").select("fp", "component_id"), "named")
+    forget(spark, made, prints_at, MADE[-1])
     return prints.join(named, "fp").select(id_col, "fp", "component_id")
