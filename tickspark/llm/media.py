@@ -1,7 +1,7 @@
 """Media columns: payloads stored as 8-bit greyscale images in archives, read through a Spark data source.
 
 write() packs each partition's images into archive files in the shared folder. The data source plans byte ranges over
-the archives' folder from file sizes alone; a task reads the directory at the end of its archive, takes the members
+the archives of a folder from their manifest and file sizes alone; a task reads the directory at the end of its archive, takes the members
 that begin in its range, reads each by its own offset (again, on a fresh handle, when that fails) and streams them as
 Arrow batches of bounded size.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tickspark.llm.bpe import blocks, lengths
-from tickspark.llm.common import filesystem, shared_path, written
+from tickspark.llm.common import WIDE_ROWS, batch_rows, filesystem, lean, shared_path
 
 #: Samples in an image row; payloads are padded to a positive multiple of it.
 WIDTH = 64
@@ -25,6 +25,8 @@ WIDTH = 64
 ARCHIVE_BYTES, ARCHIVE_MEMBERS = 64 << 20, 50_000
 #: Bytes of archive per planned task, and of payload per Arrow batch.
 RANGE_BYTES, BATCH_BYTES = 16 << 20, 2 << 20
+#: Folder, beside the archives, of the table that lists them.
+MANIFEST = "manifest"
 PNG = b"\x89PNG\r\n\x1a\n"
 #: Zip records: local header, directory entry, end of directory.
 LOCAL, ENTRY, END = struct.Struct("<IHHHHHIIIHH"), struct.Struct("<IHHHHHHIIIHHHHHII"), struct.Struct("<IHHHHIIH")
@@ -79,16 +81,13 @@ def feature(payload: bytes) -> str:
 
 
 class ArchiveWriter:
-    """A stored (uncompressed) zip file, visible under its name once whole."""
+    """A stored (uncompressed) zip file while it is written."""
 
     def __init__(self, name: str) -> None:
-        import uuid
-
         self.name, self.at, self.entries = name, 0, []
-        self.fs, self.target = filesystem(name)
-        self.fs.create_dir(self.target.rpartition("/")[0], recursive=True)
-        self.temporary = f"{self.target}.{uuid.uuid4().hex}.writing"
-        self.out = self.fs.open_output_stream(self.temporary)
+        fs, target = filesystem(name)
+        fs.create_dir(target.rpartition("/")[0], recursive=True)
+        self.out = fs.open_output_stream(target, compression=None)
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -106,7 +105,6 @@ class ArchiveWriter:
             self._put(ENTRY.pack(0x02014B50, 20, 20, 0x800, 0, 0, 0x21, crc, size, size, len(named), 0, 0, 0, 0, 0, at) + named)
         self._put(END.pack(0x06054B50, 0, 0, len(self.entries), len(self.entries), self.at - start, start, 0))
         self.out.close()
-        self.fs.move(self.temporary, self.target)
 
 
 def directory(file) -> list[tuple[int, int, int, str]]:
@@ -136,15 +134,20 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries", 3))
 
     def partitions(self) -> list[ByteRange]:
+        """Ranges over the archives that the folder's manifest lists, or over all its archives if it has none."""
         from pyarrow import fs
+        from pyarrow import parquet as pq
 
         store, root = filesystem(self.path)
         scheme = self.path.partition("://")[0] + "://" if "://" in self.path else "file://"
         host = "" if scheme == "file://" else self.path.split("/")[2] if root.startswith("/") else ""
-        out = []
-        for info in sorted(store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)), key=lambda x: x.path):
-            if info.type == fs.FileType.File and info.path.endswith(".zip"):
-                out += [ByteRange(f"{scheme}{host}{info.path}", a, min(a + self.range_bytes, info.size)) for a in range(0, info.size, self.range_bytes)]
+        listed = store.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True))
+        sizes = {f"{scheme}{host}{x.path}": x.size for x in listed if x.type == fs.FileType.File and x.path.endswith(".zip")}
+        if any(x.path.endswith(f"/{MANIFEST}/_SUCCESS") for x in listed):
+            parts = [x.path for x in listed if f"/{MANIFEST}/" in x.path and x.path.endswith(".parquet")]
+            names = [n for p in parts for n in pq.read_table(p, columns=["archive"], filesystem=store).column(0).to_pylist()]
+            sizes = {n: sizes[n if "://" in n else f"file://{n}"] for n in names}
+        out = [ByteRange(n, a, min(a + self.range_bytes, size)) for n, size in sorted(sizes.items()) for a in range(0, size, self.range_bytes)]
         return out or [ByteRange("", 0, 0)]
 
     def read(self, partition: ByteRange) -> Iterator:
@@ -154,26 +157,30 @@ class ArchiveReader(DataSourceReader):
             return
         store, at = filesystem(partition.archive)
         file = store.open_input_file(at)
-        rows, held = [], 0
-        for offset, size, crc, name in directory(file):
-            if not partition.start <= offset < partition.end:
-                continue
-            media, error = None, None
-            for attempt in range(self.retries + 1):
-                try:
-                    media = self.member(file, offset, size, crc)
-                    break
-                except Exception as failed:  # this member alone is read again; the others go on
-                    error = f"{type(failed).__name__}: {failed}"
-                    if attempt < self.retries:
-                        file = store.open_input_file(at)
-            rows.append((partition.archive, offset, name, media, None if media is not None else error))
-            held += size
-            if held >= BATCH_BYTES:
+        try:
+            rows, held = [], 0
+            for offset, size, crc, name in directory(file):
+                if not partition.start <= offset < partition.end:
+                    continue
+                media, error = None, None
+                for attempt in range(self.retries + 1):
+                    try:
+                        media = self.member(file, offset, size, crc)
+                        break
+                    except Exception as failed:  # this member alone is read again; the others go on
+                        error = f"{type(failed).__name__}: {failed}"
+                        if attempt < self.retries:
+                            file.close()
+                            file = store.open_input_file(at)
+                rows.append((partition.archive, offset, name, media, None if media is not None else error))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield self.batch(pa, rows)
+                    rows, held = [], 0
+            if rows:
                 yield self.batch(pa, rows)
-                rows, held = [], 0
-        if rows:
-            yield self.batch(pa, rows)
+        finally:
+            file.close()
 
     @staticmethod
     def member(file, offset: int, size: int, crc: int) -> bytes:
@@ -207,10 +214,16 @@ class ArchiveSource(DataSource):
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each row's text as an image in archives below path; returns the manifest (archive, members, bytes)."""
+    """Store each row's text as an image in archives below path; returns the manifest (archive, members, bytes).
+
+    A retried task writes archives of new names; the manifest, kept beside them, lists those of the attempt that counts.
+    """
     plain = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
+    batch_rows(docs.sparkSession, WIDE_ROWS)
 
     def run(batches):
+        from uuid import uuid4
+
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -227,12 +240,14 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
                         yield closed()
                         roll, out = roll + 1, None
                     if out is None:
-                        out = ArchiveWriter(f"{path}/part-{part:06d}-{roll:04d}.zip")
+                        out = ArchiveWriter(f"{path}/part-{part:06d}-{roll:04d}-{uuid4().hex}.zip")
                     out.add(f"{len(out.entries):08d}{'' if key is None else '-' + key}.png", to_image((text or "").encode("utf-8", "surrogatepass")))
         if out is not None:
             yield closed()
 
-    return written(plain.mapInArrow(run, "archive string, members long, bytes long"), "manifest")
+    made = plain.mapInArrow(lean(run), "archive string, members long, bytes long")
+    made.write.parquet(f"{path}/{MANIFEST}")
+    return docs.sparkSession.read.schema(made.schema).parquet(f"{path}/{MANIFEST}")
 
 
 def read(spark: SparkSession, path: str, retries: int = 3) -> DataFrame:
@@ -263,7 +278,7 @@ def features(members: DataFrame, id_type: str = "long", id_col: str = "doc_id")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    found = members.select("name", "media", "error").mapInArrow(run, schema)
+    found = members.select("name", "media", "error").mapInArrow(lean(run), schema)
     return found.select(F.col("k").cast(id_type).alias(id_col), *found.columns[1:])
 
 
