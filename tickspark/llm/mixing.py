@@ -86,7 +86,8 @@ def mix(
     """
     size = words(F.col(text_col)) if size_col is None else F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     kept = [c for c in docs.columns if c != "mix"]
-    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    # rows without an id are told apart by their size, so that they too spread over the parts
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("#"), size.cast("string"))))
     sized = docs.select(F.struct(*kept).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"), size.alias("size"), order.alias("order"))
     sized = sized.withColumns({"skey": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")), "bucket": F.substring("order", 1, 3)})
     parts = written(sized.groupBy("skey", "source", "bucket").agg(F.sum("size").alias("words")), "parts")
@@ -113,8 +114,8 @@ def mix(
 
 
 def training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per copy with its `position`, range-sorted by it (ties by id)."""
-    return mixed.select("*", F.explode("mix.positions").alias("position")).drop("mix").orderBy("position", id_col)
+    """One row per copy with its `position` (which replaces a column of that name), range-sorted by it (ties by id)."""
+    return mixed.drop("position").select("*", F.explode("mix.positions").alias("position")).drop("mix").orderBy("position", id_col)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def query(docs: DataFrame) -> DataFrame:
 #: The same mix in DuckDB SQL.
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-                  md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+                  md5(coalesce(CAST(doc_id AS VARCHAR), '#' || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))) AS o FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 3 * source_size AS cap FROM s),
 w AS (SELECT *, 1 + (rank - 1) % 3 AS weight FROM r),
