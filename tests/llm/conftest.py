@@ -6,6 +6,7 @@ LONG = "word " * 30_000 + "x" * 5000
 TEXTS = [
     "The quick brown fox jumps over the lazy dog.", "The quick brown fox jumps over the lazy dog.", "  leading and trailing  \n\n tabs\t\there \r\n", "", None, "a", "naïve café – 東京 🎉 é", "it's we'll THEY'RE 123 4567 <|endoftext|> !!??",
     "\x1cunit\x85sep\xa0nbsp", LONG, "same line of words that repeats here\nsecond line\nthird one", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaab", " ", "\n",
+    "hello <|endoftext|> x", "inside<|endoftext|>word <|startoftext|><|startoftext|>", "<|ENDOFTEXT|> T\u0308 J\u030c",
 ]
 
 

@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tickspark.llm import bpe, jaccard, media, simhash, tokens, warc
+from tickspark.llm import bpe, common, jaccard, media, simhash, tokens, warc
 from tickspark.llm.common import UnionFind, connected_components, filesystem
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -49,8 +49,10 @@ test_encoding_random.encoder = bpe.Encoder(RANKS, P.PATTERN)
 test_encoding_random.reference = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
 
 
-def test_replay_waits_for_lower_ranks():
+@pytest.mark.parametrize("long", [64, 5, 1])
+def test_replay_waits_for_lower_ranks(long, monkeypatch):
     """Ranks whose merges create pairs of lower rank: the piece must turn to those first, as pair-by-pair merging does."""
+    monkeypatch.setattr(bpe.Replay, "LONG", long)
     rng = np.random.default_rng(1)
     for _ in range(60):
         ranks = {bytes([k]): k for k in range(256)}
@@ -78,16 +80,23 @@ def test_replay_waits_for_lower_ranks():
 
 
 def test_small_memo_changes_nothing(encoder, reference, monkeypatch, documents):
-    monkeypatch.setattr(bpe, "MEMO_ENTRIES", 50)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 30_000)
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(bpe, "RUN_PIECES", 70)
+    small = bpe.Encoder(RANKS, P.PATTERN)
     texts = [r.text for r in documents.limit(40).collect()]
-    assert [ids_of(x) for x in encoder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    for i in range(0, 40, 5):
+        assert [ids_of(x) for x in small.encode(texts[i : i + 5])] == [reference.encode_ordinary(t) for t in texts[i : i + 5]]
+        assert small.held <= 30_000
 
 
 def test_encode_and_decode_odd(odd, none, reference):
     out = bpe.digest(bpe.decode(bpe.encode(odd, RANKS, P.PATTERN), RANKS)).collect()
     wanted = sorted((-1 if r.doc_id is None else r.doc_id, len(i := reference.encode_ordinary(r.text or "")), hashlib.sha256(np.array(i, "<u4").tobytes()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect())
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in out) == wanted
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(odd, RANKS, P.PATTERN).collect()) == wanted
     assert bpe.digest(bpe.decode(bpe.encode(none, RANKS, P.PATTERN), RANKS)).count() == 0
+    assert bpe.round_trip(none, RANKS, P.PATTERN).count() == 0
 
 
 @settings(max_examples=100, deadline=None)
@@ -115,7 +124,38 @@ def test_word_encoder(text):
 
 test_word_encoder.made = tokens.WordEncoder(WORDS)
 test_word_encoder.library = Tokenizer.from_file(WORDS)
-test_word_encoder.library.encode_special_tokens = True
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", " ", "\n", "\u0308", "\u030c", "\u0338", "T", "J", "I", "word", "Word.", "it's", "42", "\xa0"]), st.text(max_size=4)), max_size=12))
+def test_word_encoder_added_tokens_and_marks(parts):
+    text = "".join(parts)
+    made = test_word_encoder.made
+    assert np.frombuffer(made.encode([text])[0], made.kind).tolist() == test_word_encoder.library.encode(text, add_special_tokens=False).ids
+
+
+def test_word_encoder_small_memo(documents, monkeypatch):
+    monkeypatch.setattr(tokens.WordEncoder, "MEMO_BYTES", 20_000)
+    monkeypatch.setattr(tokens.WordEncoder, "LONG", 300)
+    made = tokens.WordEncoder(WORDS)
+    texts = [r.text or "" for r in documents.limit(60).collect()]
+    for i in range(0, 60, 7):
+        got = [np.frombuffer(x, made.kind).tolist() for x in made.encode(texts[i : i + 7])]
+        assert got == [test_word_encoder.library.encode(t, add_special_tokens=False).ids for t in texts[i : i + 7]]
+        assert made.held <= 20_000
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    spec = json.load(open(WORDS, encoding="utf-8"))
+    assert tokens.word_by_word(spec)
+    spec["added_tokens"][0]["rstrip"] = True
+    assert not tokens.word_by_word(spec)
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    text = "a <|startoftext|>  b c"
+    made = tokens.WordEncoder(str(tmp_path / "t.json"))
+    assert np.frombuffer(made.encode([text])[0], made.kind).tolist() == Tokenizer.from_file(str(tmp_path / "t.json")).encode(text, add_special_tokens=False).ids
 
 
 def test_token_files_odd(spark, odd, none):
@@ -164,7 +204,7 @@ def test_fingerprints_odd(odd):
     assert got == sorted(((r.doc_id or -1), plain_fingerprint(r.text)) for r in odd.collect())
 
 
-@pytest.mark.parametrize("shard_rows", [200_000, 3])
+@pytest.mark.parametrize("shard_rows", [200_000, 20, 3])
 def test_near_duplicates(documents, shard_rows):
     rows = documents.limit(120)
     prints = {r.doc_id: plain_fingerprint(r.text) for r in rows.collect()}
@@ -195,9 +235,10 @@ def test_near_duplicates_odd(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_near_copies_by_jaccard(spark, odd, none, monkeypatch, block):
+@pytest.mark.parametrize(("block", "group"), [(1024, 64), (8, 64), (8, 3)])
+def test_near_copies_by_jaccard(spark, odd, none, monkeypatch, block, group):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "GROUP", group)
     rng = np.random.default_rng(5)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
     shared, texts = word(60), []
@@ -244,12 +285,17 @@ def test_damaged_images():
         media.from_image(bytes(image))
 
 
+def plain_feature(payload):
+    """Sum of the bytes, and how many of them lie in each eighth of 0..255."""
+    return f"sum={sum(payload)};hist=" + ",".join(str(sum(32 * k <= b < 32 * k + 32 for b in payload)) for k in range(8))
+
+
 def test_media_odd(odd, none):
     out = media.round_trip(odd).collect()
     wanted = []
     for r in odd.collect():
         payload = media.pad((r.text or "").encode())
-        wanted.append((r.doc_id or -1, len((r.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), media.feature(payload)))
+        wanted.append((r.doc_id or -1, len((r.text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), plain_feature(payload)))
     assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in out) == sorted(wanted)
     assert len({r.media_sha256 for r in out}) == len({r.payload_sha256 + str(r.n_bytes) for r in out})
     assert media.round_trip(none).count() == 0
@@ -266,6 +312,19 @@ def test_archives_are_zip_files_and_ranges_cover_them(spark, documents, tmp_path
     assert len(rows) == len(set(rows)) == documents.count()
 
 
+def test_files_of_other_attempts_do_not_count(spark, documents, tmp_path):
+    """A second attempt of a task writes files of names of its own; the manifest says which ones are read."""
+    few, folder = documents.limit(20), f"file://{tmp_path}/m"
+    media.write(few, folder)
+    orphan = media.ArchiveWriter(f"{folder}/part-000000-0000-late.zip")
+    orphan.add("00000000-1.png", media.to_image(b"late"))
+    orphan.close()
+    assert media.features(media.read(spark, folder)).count() == 20
+    a, b = (tokens.write(few, f"file://{tmp_path}/t", WORDS, 2) for _ in range(2))  # both attempts in one folder
+    assert not {r.file for r in a.collect()} & {r.file for r in b.collect()}
+    assert tokens.read(spark, a).count() == tokens.read(spark, b).count() == 20
+
+
 def test_members_are_retried_on_their_own(spark, documents, tmp_path, monkeypatch):
     manifest = media.write(documents.limit(5), f"file://{tmp_path}/m").collect()
     fs, at = filesystem(manifest[0].archive)
@@ -316,6 +375,19 @@ def test_segments_cross_files(spark, tmp_path):
     assert got == {r[0]: r[2].encode() for r in rows}
 
 
+def test_long_repeated_payloads(spark):
+    """Payloads of many segments, repeated: one response, revisits without a payload, also when the map of digests is full."""
+    text = "".join(f"<p>é {i}</p>" for i in range(20_000))
+    rows = [(i, "u", text if i % 4 else text[:-1], "k", 1) for i in range(12)] + [(3, "u", text, "k", 1)]
+    for bits in (24, 6):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "MAP_BITS", bits)
+            got = sorted((r.page_id, r.record_type, r.refers_to if r.refers_to is not None else -1, r.payload_bytes) for r in warc.round_trip(pages_of(spark, rows)).collect())
+        size = len(text.encode())
+        wanted = [(i, "response", -1, n) if i == first else (i, "revisit", first, n) for i in range(12) for first, n in ((1, size) if i % 4 else (0, size - 1),)]
+        assert got == sorted([*wanted, (3, "revisit", 1, size)])
+
+
 def test_missing_segments_raise():
     with pytest.raises(ValueError):
         warc.joined("o", [(1, None, b"ab"), (3, 4, b"cd")])
