@@ -134,7 +134,14 @@ def figures(rows: DataFrame, clip: tuple[float, float]) -> dict[str, Spread1D]:
     """Per metric: two aggregations, one result row per metric."""
     q = rows.groupBy("metric").agg(F.percentile("x", F.array(F.lit(clip[0]), F.lit(clip[1]))).alias("q"))
     inside = rows.join(q, "metric").filter(F.col("x").between(F.col("q")[0], F.col("q")[1]))
-    stats = inside.groupBy("metric").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("iq"))
+    stats = inside.groupBy("metric").agg(
+        F.count("*").alias("n"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+        F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"),
+        F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("iq"),
+    )
     return {r.metric: Spread1D(r.n, r.low, r.high, r.mean, r.std if r.std is not None else math.nan, r.iq[1] - r.iq[0]) for r in stats.collect()}
 
 

@@ -344,7 +344,17 @@ class Ledger:
                     if k == len(wanted):
                         break
                     i = int(wanted[k])
-                    self.trade = {"signal_seq": int(seq[i]), "signal_us": int(ts_us[i]), "signal_price": float(mid[i]), "direction": int(direction[i]), "tp": float(tp[i]), "sl": float(sl[i]), "timeout": float(timeout[i]), "threshold": float(threshold[i]), "fill_us": None}
+                    self.trade = {
+                        "signal_seq": int(seq[i]),
+                        "signal_us": int(ts_us[i]),
+                        "signal_price": float(mid[i]),
+                        "direction": int(direction[i]),
+                        "tp": float(tp[i]),
+                        "sl": float(sl[i]),
+                        "timeout": float(timeout[i]),
+                        "threshold": float(threshold[i]),
+                        "fill_us": None,
+                    }
                     at = i + 1
                 if self.trade["fill_us"] is None:
                     if at >= n:

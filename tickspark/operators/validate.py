@@ -51,5 +51,9 @@ def tally(audited: DataFrame) -> DataFrame:
     """(instrument, total_ticks, accepted_ticks, skipped_ticks, issues MAP<STRING, BIGINT>)."""
     counts = audited.groupBy("instrument", "issue").agg(F.count("*").alias("n"))
     entries = F.collect_list(F.when(F.col("issue").isNotNull(), F.struct("issue", "n")))
-    sums = counts.groupBy("instrument").agg(F.sum("n").alias("total_ticks"), F.coalesce(F.sum(F.when(F.col("issue").isNull(), F.col("n"))), F.lit(0)).alias("accepted_ticks"), F.map_from_entries(F.array_sort(entries)).alias("issues"))
+    sums = counts.groupBy("instrument").agg(
+        F.sum("n").alias("total_ticks"),
+        F.coalesce(F.sum(F.when(F.col("issue").isNull(), F.col("n"))), F.lit(0)).alias("accepted_ticks"),
+        F.map_from_entries(F.array_sort(entries)).alias("issues"),
+    )
     return sums.select("instrument", "total_ticks", "accepted_ticks", (F.col("total_ticks") - F.col("accepted_ticks")).alias("skipped_ticks"), "issues")

@@ -51,7 +51,10 @@ def q_flagship(spark, sf_dir):
     m = add_metrics(accepted(spark, sf_dir), [make_metric("spread", "spread", {"pip_size": 0.01, "window_seconds": 3 * H}), make_metric("rate", "tick_rate", {"window_seconds": 3 * H}), make_metric("session", "session")])
     busy = m.filter(holds(Predicate("rate.tick_count", ">=", 3), m.schema))
     return busy.groupBy("instrument", F.col("`session.session_label`").alias("session_label")).agg(
-        F.count("*").alias("n"), F.round(F.avg("`spread.spread_pips`"), 6).alias("avg_spread_pips"), F.round(F.avg("`spread.spread_percentile`"), 6).alias("avg_percentile"), F.round(F.avg("`rate.tick_count`"), 6).alias("avg_count")
+        F.count("*").alias("n"),
+        F.round(F.avg("`spread.spread_pips`"), 6).alias("avg_spread_pips"),
+        F.round(F.avg("`spread.spread_percentile`"), 6).alias("avg_percentile"),
+        F.round(F.avg("`rate.tick_count`"), 6).alias("avg_count"),
     )
 
 
@@ -153,7 +156,17 @@ def sample_trades(spark, sf_dir):
     t = ticks(spark, sf_dir)
     hold = (F.col("seq") * 7919 % 7200 + 60) * 1_000_000
     entry, exit_ = F.timestamp_micros("ts_us"), F.timestamp_micros(F.col("ts_us") + hold)
-    return t.select(F.col("instrument").alias("pair"), F.col("seq").alias("signal_seq"), entry.alias("entry_time"), exit_.alias("exit_time"), (F.round("bid", 2) - 50).alias("pnl_pips"), F.when(F.col("bid") > 50, "TP").otherwise("SL").alias("outcome_label"), (hold / 1e6).alias("holding_seconds"), F.col("bid").alias("m.value"), (F.col("seq") % 17 + F.col("bid") / 100).alias("m.other"))
+    return t.select(
+        F.col("instrument").alias("pair"),
+        F.col("seq").alias("signal_seq"),
+        entry.alias("entry_time"),
+        exit_.alias("exit_time"),
+        (F.round("bid", 2) - 50).alias("pnl_pips"),
+        F.when(F.col("bid") > 50, "TP").otherwise("SL").alias("outcome_label"),
+        (hold / 1e6).alias("holding_seconds"),
+        F.col("bid").alias("m.value"),
+        (F.col("seq") % 17 + F.col("bid") / 100).alias("m.other"),
+    )
 
 
 def q_performance(spark, sf_dir):
@@ -172,7 +185,9 @@ def q_outcomes(spark, sf_dir):
 
 
 def q_stratify(spark, sf_dir, merge=False):
-    modes = [strat.Binning("nbins", nbins=25), strat.Binning("fd"), strat.Binning("scott"), strat.Binning("sigma"), strat.Binning("fixed", width=7.3)] if not merge else [strat.Binning("nbins", nbins=25, merge_to_min_count=True, min_count=60)]
+    modes = [strat.Binning("nbins", nbins=25), strat.Binning("fd"), strat.Binning("scott"), strat.Binning("sigma"), strat.Binning("fixed", width=7.3)]
+    if merge:
+        modes = [strat.Binning("nbins", nbins=25, merge_to_min_count=True, min_count=60)]
     s = strat.stratify(sample_trades(spark, sf_dir), ["m.value", "m.other", "m.absent"], modes)
     fields = ["bin_left", "bin_right", "std_pnl", "median_pnl", "win_rate", "se"]
     # means of a few two-digit values end on a 5: eight digits keep them off a rounding tie

@@ -117,7 +117,18 @@ def simulate_all(spark: SparkSession, config: BacktestConfig, block_s: float | N
     return simulate.run_strategy(metrics, config.strategy, config.pip_size, config.warmup_seconds), audited, failures
 
 
-def run_backtest(spark: SparkSession, config_path: str | Path, *, output_root: str | Path | None = None, run_id: str | None = None, log_level: str = "INFO", block_s: float | None = None, empty_exit_closes: bool = True, explain: bool = False, profile: bool = False) -> dict:
+def run_backtest(
+    spark: SparkSession,
+    config_path: str | Path,
+    *,
+    output_root: str | Path | None = None,
+    run_id: str | None = None,
+    log_level: str = "INFO",
+    block_s: float | None = None,
+    empty_exit_closes: bool = True,
+    explain: bool = False,
+    profile: bool = False,
+) -> dict:
     """Run a configuration and write {root}/{run}/output/{pair}/trades.parquet, logs, configuration copies and manifest.json.
 
     A pair without trades gets no file. A pair whose data are missing or broken is recorded in pair_failures; the
@@ -190,7 +201,8 @@ class Profiler:
         for k in range(listed.size()):
             s = listed.apply(k)
             if s.submissionTime().isDefined() and s.submissionTime().get().getTime() >= begin:
-                stages.append({"stage": s.stageId(), "name": s.name(), "tasks": s.numTasks(), "seconds": s.executorRunTime() / 1000, "shuffle_read": s.shuffleReadBytes(), "shuffle_write": s.shuffleWriteBytes(), "spilled": s.diskBytesSpilled()})
+                told = {"stage": s.stageId(), "name": s.name(), "tasks": s.numTasks(), "seconds": s.executorRunTime() / 1000}
+                stages.append(told | {"shuffle_read": s.shuffleReadBytes(), "shuffle_write": s.shuffleWriteBytes(), "spilled": s.diskBytesSpilled()})
         (self.folder / "stages.json").write_text(json.dumps({"seconds": (datetime.now(UTC) - self.begin).total_seconds(), "stages": stages}, indent=2))
 
 
@@ -289,7 +301,15 @@ class StratificationSummary:
     csv: Path | None
 
 
-def run_metric_stratification(spark: SparkSession, trades_path: str | Path | DataFrame, output_root: str | Path, metrics: Sequence[str] | None = None, modes: Sequence[str] = ("scott",), min_count: int = 100, merge_to_min_count: bool = False) -> StratificationSummary:
+def run_metric_stratification(
+    spark: SparkSession,
+    trades_path: str | Path | DataFrame,
+    output_root: str | Path,
+    metrics: Sequence[str] | None = None,
+    modes: Sequence[str] = ("scott",),
+    min_count: int = 100,
+    merge_to_min_count: bool = False,
+) -> StratificationSummary:
     """Bins of every metric and mode as CSV (one folder per mode and metric) and Markdown; per metric the first mode's bins."""
     trades = trades_path if isinstance(trades_path, DataFrame) else ledgers.load_trades(spark, str(trades_path))
     names = list(metrics) if metrics is not None else strat.metric_columns(trades, DEFAULT_METRICS)

@@ -31,7 +31,18 @@ TOGETHER = 10
 PARAMETERS = ("label", "min_recency_seconds", "tp_pips", "sl_pips", "trade_timeout_seconds")
 
 
-def run(metrics: DataFrame, configs: DataFrame, *, lookback_seconds: int, threshold_pips: float, pip_size: float, warmup_s: float, entry_predicates: Sequence[Predicate] = (), exit_predicates: Sequence[Predicate] = (), empty_exit_closes: bool = False) -> DataFrame:
+def run(
+    metrics: DataFrame,
+    configs: DataFrame,
+    *,
+    lookback_seconds: int,
+    threshold_pips: float,
+    pip_size: float,
+    warmup_s: float,
+    entry_predicates: Sequence[Predicate] = (),
+    exit_predicates: Sequence[Predicate] = (),
+    empty_exit_closes: bool = False,
+) -> DataFrame:
     """(label, pair, parameters, exit_us, pnl_pips, outcome_label) of every configuration's trades, in one plan.
 
     The configurations are driver-side parameters (tens of rows). Metrics and predicates are computed once; of a tick only

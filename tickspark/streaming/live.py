@@ -41,7 +41,11 @@ def reversion_stream(quotes: DataFrame, params: ThresholdReversionParams, pip_si
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        machine, latest, before = pickle.loads(state.get[0]) if state.exists else (kernels.Reversion(params.lookback_seconds, params.threshold_pips, params.tp_pips, params.sl_pips, pip_size, params.min_recency_seconds, params.trade_timeout_seconds), None, 0.0)
+        if state.exists:
+            machine, latest, before = pickle.loads(state.get[0])
+        else:
+            levels = (params.lookback_seconds, params.threshold_pips, params.tp_pips, params.sl_pips)
+            machine, latest, before = kernels.Reversion(*levels, pip_size, params.min_recency_seconds, params.trade_timeout_seconds), None, 0.0
         ticks = pd.concat(list(frames)).sort_values("seq", kind="stable")
         ts, mid = ticks.ts_us.to_numpy(np.int64), ticks.mid.to_numpy(float)
         seen = np.maximum.accumulate(np.concatenate(([ts[0] if latest is None else latest], ts)))
@@ -62,4 +66,5 @@ def reversion_stream(quotes: DataFrame, params: ThresholdReversionParams, pip_si
 def windowed_counts(quotes: DataFrame, window: str = "5 minutes", slide: str | None = None, late: str = "1 minute") -> DataFrame:
     """Ticks and mean spread per instrument and window; ticks later than `late` are dropped by the watermark."""
     timed = sound(quotes).withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", late)
-    return timed.groupBy("instrument", F.window("ts", window, slide)).agg(F.count("*").alias("ticks"), F.avg(F.col("ask") - F.col("bid")).alias("avg_spread")).select("instrument", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "ticks", "avg_spread")
+    counted = timed.groupBy("instrument", F.window("ts", window, slide)).agg(F.count("*").alias("ticks"), F.avg(F.col("ask") - F.col("bid")).alias("avg_spread"))
+    return counted.select("instrument", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "ticks", "avg_spread")
