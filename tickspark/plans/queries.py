@@ -247,8 +247,12 @@ PAIRS, MONTH = ("click", "error", "purchase", "signup", "view"), (2024, 1)
 
 
 def scratch(spark, what: str) -> str:
-    """A new path in the folder that executors share (a local one where none is set)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
+    """A new path in the folder that executors share; a local master may have none and gets a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='tickspark-')}"
     return f"{shared.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
