@@ -259,6 +259,19 @@ def test_near_copies_by_jaccard(spark, odd, none, monkeypatch, block, group):
     assert jaccard.near_duplicates(odd).count() == odd.count() and jaccard.near_duplicates(none).count() == 0
 
 
+def test_common_lines_make_no_group(spark, monkeypatch):
+    """Texts that share a line only are no candidates, however many; near copies among them are found."""
+    monkeypatch.setattr(jaccard, "GROUP", 8)
+    rng = np.random.default_rng(8)
+    line, own = [f"c{i}" for i in range(12)], lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = [line + own(14) for _ in range(300)]
+    texts += [[*t[:-1], "other"] for t in texts[:5]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = common.connected_components(jaccard.candidates(rows.select("text"), 5, (4, 5)))
+    assert max(r["count"] for r in found.groupBy("component").count().collect()) <= 20
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()} == {i: i % 300 for i in range(305)}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
 def test_components(spark, kind):
     rng = np.random.default_rng(3)

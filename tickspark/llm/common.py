@@ -25,6 +25,11 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, rows)
 
 
+def sweep_shuffles(spark: SparkSession) -> None:
+    """From now on the shuffle files of a plan are deleted when it has run, not when the driver next collects garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def lean(run: Callable) -> Callable:
     """An Arrow pass that gives freed memory back to the system when its partition is done, so that idle workers hold little."""
 
