@@ -272,6 +272,24 @@ def test_common_lines_make_no_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()} == {i: i % 300 for i in range(305)}
 
 
+def test_near_dedup_by_simhash(spark, monkeypatch):
+    """SimHash nominates near copies by itself; the exact comparison turns down those it should not have."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    apart = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    near = next(t for k in range(500) if 0 < apart(t := " ".join([*base[:-1], f"x{k}"]), " ".join(base)) <= 2)
+    cycle = "a b c " * 50
+    texts = [" ".join(base), near, cycle, cycle + "p q r s t u", "far from all of them by every measure"]
+    assert apart(texts[2], texts[3]) <= 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()} == {0, 2, 3, 4}
+    nothing = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(jaccard, "candidates", lambda *_: nothing)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, "").collect()} == {0, 2, 3, 4}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "none"])
 def test_components(spark, kind):
     rng = np.random.default_rng(3)
