@@ -272,6 +272,43 @@ def test_common_lines_make_no_group(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(rows).collect()} == {i: i % 300 for i in range(305)}
 
 
+def test_near_copies_make_rows_in_proportion(spark, monkeypatch):
+    """Twice as many near copies of one text make about twice the rows on the way to candidates, not four times."""
+    rng, rows = np.random.default_rng(12), {}
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    copies = [(i, " ".join([*base[:at], f"x{i}", *base[at + 1 :]])) for i, at in enumerate(rng.integers(0, 300, 60).tolist())]
+    kept = jaccard.written
+
+    def counted(df, what):
+        out = kept(df, what)
+        rows[what] = max(rows.get(what, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", counted)
+    most = []
+    for n in (30, 60):
+        rows.clear()
+        edges = jaccard.candidates(spark.createDataFrame(copies[:n], "doc_id long, text string").select("text"), 5, (4, 5))
+        assert connected_components(edges).groupBy("component").count().first()["count"] == n
+        most.append(max([edges.count(), *rows.values()]))
+    assert most[1] <= 3 * most[0]
+
+
+@pytest.mark.parametrize("most", [1, 3, 100])
+def test_shared_keys(most):
+    """Keys of several marks, over every division into parts; a key of more than `most` marks has most + 1."""
+    rng = np.random.default_rng(most)
+    for _ in range(200):
+        n = int(rng.integers(0, 50))
+        pairs = sorted(zip(rng.integers(0, 5, n).tolist(), rng.integers(0, 12, n).tolist(), strict=True))
+        cuts = [0, *sorted(rng.integers(0, n + 1, 4).tolist()), n]
+        columns = [np.array([p[k] for p in pairs], np.int64) for k in (0, 1)]
+        parts = [(columns[0][a:b], columns[1][a:b], columns[0][a:b].astype(np.int32)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        marks = {k: {m for key, m in pairs if key == k} for k, _ in pairs}
+        wanted = [(k, m, k, min(len(marks[k]), most + 1)) for k in sorted(marks) if len(marks[k]) > 1 for m in sorted(marks[k])]
+        assert [tuple(map(int, x)) for p in jaccard.shared(parts, most) for x in zip(*p, strict=True)] == wanted
+
+
 def test_near_dedup_by_simhash(spark, monkeypatch):
     """SimHash nominates near copies by itself; the exact comparison turns down those it should not have."""
     import corpus_pipeline
